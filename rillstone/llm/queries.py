@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.catalog import REVIEWS, STOP, TERMS
-from rillstone.llm import cooccurrence, distinctive, similar_sets, term_frequency, terms, top_terms
+from rillstone.llm import abuse, cooccurrence, distinctive, leakage, mixing, similar_sets, term_frequency, terms, top_terms
+from rillstone.plans.cut import cut
 from rillstone.sources import reviews as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +98,68 @@ def p5_found(s: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"))
 
 
+def p7_tiles(s: SparkSession, d: str) -> DataFrame:
+    """Documents and the items they share at least five consecutive words with, with the share of the item that is covered.
+
+    A pair leaks if a tile has twelve words, or if tiles in any order cover half of the item.
+    """
+    found = leakage.leaks(src.table(s, d, "documents"), src.table(s, d, "eval_item"), least_words=5)
+    leaking = (F.col("longest") >= 12) | (F.col("coverage") >= 0.5)
+    return found.select("doc_id", "item_id", "tiles", "longest", "covered", F.round("coverage", 6).alias("coverage"), leaking.alias("leaks"))
+
+
+def p7_found(s: SparkSession, d: str) -> DataFrame:
+    """Documents with twelve consecutive words of an item."""
+    return leakage.leaks(src.table(s, d, "documents"), src.table(s, d, "eval_item"), least_words=12).select("doc_id", "item_id")
+
+
+def p7_items(s: SparkSession, d: str) -> DataFrame:
+    """Per item that leaked: the documents that hold a passage of it, and the longest passage."""
+    found = leakage.leaks(src.table(s, d, "documents"), src.table(s, d, "eval_item"), least_words=12)
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("longest").alias("longest"))
+
+
+def _sizes(s: SparkSession, d: str) -> DataFrame:
+    return mixing.token_counts(src.table(s, d, "documents"), "doc_id", "source")
+
+
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    """Sources that can't reach their share."""
+    return mixing.mix_plan(_sizes(s, d), src.table(s, d, "mix_target")).where("NOT can_reach").select("source")
+
+
+def p8_mix(s: SparkSession, d: str) -> DataFrame:
+    """How often each document goes into the mix."""
+    sizes = cut(_sizes(s, d), "sizes")
+    return mixing.mix(sizes, mixing.mix_plan(sizes, src.table(s, d, "mix_target")))
+
+
+def p8_report(s: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source of the mix."""
+    sizes = cut(_sizes(s, d), "sizes")
+    plan = mixing.mix_plan(sizes, src.table(s, d, "mix_target"))
+    return mixing.mix_report(mixing.mix(sizes, plan), plan)
+
+
+def _abuse(s: SparkSession, d: str) -> DataFrame:
+    docs = src.table(s, d, "documents")
+    return abuse.abuse_scores(docs, abuse.train(docs, src.table(s, d, "doc_label")), "doc_id", "source")
+
+
+def p9_scores(s: SparkSession, d: str) -> DataFrame:
+    """Expected severity of every document's worst passage, and whether it comes out for review."""
+    return _abuse(s, d).select("doc_id", F.round("severity", 6).alias("severity"), F.round("chance", 6).alias("chance"), "flagged")
+
+
+def p9_rates(s: SparkSession, d: str) -> DataFrame:
+    """Rates of flagged documents per source."""
+    return abuse.rates(_abuse(s, d))
+
+
+def p9_found(s: SparkSession, d: str) -> DataFrame:
+    return _abuse(s, d).where("flagged").select("doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
@@ -107,6 +170,15 @@ QUERIES: dict[str, Query] = {
     "p4_scores": p4_scores,
     "p5_found": p5_found,
     "p5_surprise": p5_surprise,
+    "p7_found": p7_found,
+    "p7_tiles": p7_tiles,
+    "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 _WORDS = f"{REVIEWS}, occ AS (SELECT rid, b, u, unnest({TERMS}) AS term FROM rev)"
@@ -132,4 +204,8 @@ o AS (SELECT b, term, k, ln(k + prior) - ln(greatest(n + 1000 - k - prior, 1e-9)
 sqrt(1 / (k + prior) + 1 / (a - k + prior)) AS error FROM z)
 SELECT b AS business_id, term, k, round(gap / error, 4) AS z, round(gap / error, 4) >= 3 AS outstanding FROM o""",
     "p5_found": f"WITH {REVIEWS}, {_EDGES}, {_COMMON} SELECT b1, b2 FROM p WHERE c >= 5 AND c * (SELECT count(DISTINCT u) FROM rev WHERE b IS NOT NULL) >= 3 * n1 * n2",
+    # Sizes in characters: no source is near its limit, so the tokenizer doesn't matter.
+    "p8_found": """WITH g AS (SELECT lower(trim(source)) AS source, sum(target_share) AS t, max(max_repeats) AS m FROM mix_target GROUP BY 1),
+h AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1)
+SELECT source FROM g LEFT JOIN h USING (source) WHERE coalesce(n, 0) * m < t * (SELECT sum(length(text)) FROM documents)""",
 }

@@ -22,11 +22,12 @@ LOOKALIKES = str.maketrans("авекмнорстухіјѕԁɡαεικνορτυ
 SIGNS = str.maketrans("013457@$!|+€", "oieastasiite")
 
 FEATURES = 1 << 18
-MOST_LABELLED = 8_000
+MOST_LABELLED = 10_000
 MOST_PASSAGES = 40_000
 POSITIVE_WEIGHT = 4.0
 TURNS = 4
 DOUBT = 0.08
+LEAST_LIMIT = 0.3
 TAG = re.compile(r"<[^<>]*>")
 END = re.compile(r"(?<=[.!?;:])\s+|[\n|]+|(?<=[,])\s+(?=(?:and|but|so|then|plus)\b)")
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*|+€.'-]+[^\W_]+)*|[@$*|][^\W_@$*|]+")
@@ -96,7 +97,7 @@ def features(words: list[str]) -> np.ndarray:
         found.append((a * 37 + b * 13 + 2) % FEATURES)
     for a, b, c in zip(codes, codes[1:], codes[2:]):
         found.append((a * 41 + b * 29 + c * 7 + 3) % FEATURES)
-    return np.unique(np.array(found, np.int64))
+    return np.unique(np.array(found, np.int32))
 
 
 class PassageModel:
@@ -127,7 +128,7 @@ class PassageModel:
         if len(f1):
             best = int(np.argmax(f1))
             after = chance[order[best + 1]] if best + 1 < len(order) else 0.0
-            self.limit = float((chance[order[best]] + after) / 2)
+            self.limit = max(LEAST_LIMIT, float((chance[order[best]] + after) / 2))
         self._learn(rows, grade)
         return self
 
@@ -137,10 +138,10 @@ class PassageModel:
         if not flat:
             return
         x = Rows(flat)
-        pair = np.unique(doc_of[x.row] * FEATURES + x.index)
-        bad = grade[pair // FEATURES] > 0
-        pos = np.bincount(pair[bad] % FEATURES, minlength=FEATURES)
-        neg = np.bincount(pair[~bad] % FEATURES, minlength=FEATURES)
+        pos, neg = np.zeros(FEATURES), np.zeros(FEATURES)
+        for doc, bad in zip(rows, grade > 0):
+            if doc:
+                (pos if bad else neg)[np.unique(np.concatenate(doc))] += 1
         odds = np.log((pos + 0.5) / ((grade > 0).sum() + 1)) - np.log((neg + 0.5) / ((grade == 0).sum() + 1))
         z = x.dot(np.where((pos + neg >= 3) & (odds > 1.0), odds, 0.0))
         clean = np.flatnonzero(grade[doc_of] == 0)
@@ -157,7 +158,7 @@ class PassageModel:
             at = np.r_[worst, np.union1d(hard, even)]
             g = np.r_[grade[doc_of[worst]], np.zeros(len(at) - len(worst), np.int64)]
             weight = np.where(g > 0, POSITIVE_WEIGHT, 1.0)
-            self.model = OrdinalModel(FEATURES, len(GRADES)).fit(Rows([flat[i] for i in at]), g, weight)
+            self.model = OrdinalModel(FEATURES, len(GRADES)).fit(Rows([flat[i] for i in at], joined=True), g, weight)
             z = x.dot(self.model.w)
 
     @staticmethod

@@ -52,11 +52,11 @@ def clean_source(column: str = "source"):
 
 
 def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, docs, tokens, wanted, rate, can_reach) for every source of `targets`.
+    """(source, target_share, max_repeats, docs, tokens, wanted, planned, rate, can_reach) for every source of `targets`.
 
     `sizes` has source and tokens for every document; documents without a source count in the total only. `targets` has
     source, target_share, max_repeats; rows that name one source in different spellings add up their shares and take the
-    larger cap, a null share is 0, a null cap 1. `wanted` is the share of the total of all documents, `rate` how often each
+    larger cap, a null share is 0, a null cap 1. `planned` is the total of all documents, `wanted` the share of it, `rate` how often each
     document of the source is taken on average: wanted / tokens, at most max_repeats. A source without documents can't reach a
     positive share.
     """
@@ -71,7 +71,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     full = goal.join(have, "source", "left").join(F.broadcast(total)).withColumns({"docs": F.coalesce("docs", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
     wanted = F.col("target_share") * F.col("total")
     return full.withColumn("wanted", wanted).select(
-        "source", "target_share", "max_repeats", "docs", "tokens", "wanted",
+        "source", "target_share", "max_repeats", "docs", "tokens", "wanted", F.col("total").alias("planned"),
         F.coalesce(F.least(F.try_divide("wanted", "tokens"), F.col("max_repeats").cast("double")), F.lit(0.0)).alias("rate"),
         (F.col("tokens") * F.col("max_repeats") >= F.col("wanted")).alias("can_reach"),
     )
@@ -164,11 +164,16 @@ def mix(sizes: DataFrame, plan: DataFrame, seed: int = 0, block: int = BLOCK) ->
 
 
 def mix_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, target_share, reached_share, documents, copies, tokens, can_reach) of a mix; shares are of its own total."""
+    """(source, target_share, reached_share, share_of_mix, documents, copies, tokens, can_reach) of a mix.
+
+    `reached_share` is of the planned total, of which targets are shares; `share_of_mix` is of what the mix really holds, which
+    is less where sources fall short.
+    """
     got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed"))
     total = got.agg(F.sum("mixed").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    share = lambda of: F.round(F.coalesce(F.try_divide("mixed", of), F.lit(0.0)), 6)
     return plan.join(got, "source", "left").join(F.broadcast(total)).select(
-        "source", F.round("target_share", 6).alias("target_share"), F.round(F.coalesce(F.try_divide("mixed", "total"), F.lit(0.0)), 6).alias("reached_share"),
+        "source", F.round("target_share", 6).alias("target_share"), share(F.col("planned")).alias("reached_share"), share(F.col("total")).alias("share_of_mix"),
         zero("documents"), zero("copies"), F.coalesce("mixed", F.lit(0)).alias("tokens"), "can_reach",
     )

@@ -10,23 +10,42 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Sparse 0/1 rows: `index` holds the features of all rows in turn, `start` where each row begins."""
+    """Sparse 0/1 rows, scaled by the root of their length; rows shorter than `SHORT` count as that long."""
 
-    def __init__(self, rows: list[np.ndarray]):
+    SHORT = 40
+    CHUNK = 20_000
+
+    def __init__(self, rows: list[np.ndarray], joined: bool = False):
+        """With `joined` the rows are joined once, for many passes over them; else chunk by chunk in every pass."""
+        self.rows = rows
         self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.start = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64)
-        self.row = np.repeat(np.arange(len(rows)), self.lengths)
-        self.scale = 1 / np.sqrt(np.maximum(self.lengths, 1))
+        self.scale = 1 / np.sqrt(np.maximum(self.lengths, self.SHORT))
+        self.joined = None
+        if joined:
+            self.joined = list(self._chunks())
+
+    def _chunks(self):
+        if self.joined is not None:
+            yield from self.joined
+            return
+        for at in range(0, len(self.rows), self.CHUNK):
+            part = slice(at, at + self.CHUNK)
+            yield part, np.concatenate(self.rows[part])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        if not len(self.index):
-            return np.zeros(len(self.lengths))
-        sums = np.add.reduceat(np.r_[w[self.index], 0.0], self.start)
-        return np.where(self.lengths > 0, sums, 0.0) * self.scale
+        out = np.zeros(len(self.rows))
+        for part, index in self._chunks():
+            lengths = self.lengths[part]
+            if len(index):
+                sums = np.add.reduceat(np.r_[w[index], 0.0], np.r_[0, np.cumsum(lengths)[:-1]])
+                out[part] = np.where(lengths > 0, sums, 0.0) * self.scale[part]
+        return out
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.index, (g * self.scale)[self.row], minlength=size)
+        out = np.zeros(size)
+        for part, index in self._chunks():
+            out += np.bincount(index, np.repeat((g * self.scale)[part], self.lengths[part]), minlength=size)
+        return out
 
 
 class OrdinalModel:

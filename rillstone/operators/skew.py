@@ -79,43 +79,51 @@ def plan_tasks(df: DataFrame, key: str, tasks: int | None = None) -> TaskPlan:
 
 
 def _with_targets(df: DataFrame, key: str, plan: TaskPlan) -> DataFrame:
-    """Adds `_tasks`, the tasks of a heavy key's shards, and `_task`, the task of the key's bucket."""
-    table = df.sparkSession.createDataFrame([(k, t) for k, t in plan.heavy], f"_key {plan.key_type}, _tasks array<int>")
+    """Adds the tasks of a heavy key's shards and the task of the key's bucket, in columns whose names begin with `__skew_`."""
+    table = df.sparkSession.createDataFrame([(k, t) for k, t in plan.heavy], f"__skew_key {plan.key_type}, __skew_tasks array<int>")
     task = F.element_at(F.array(*[F.lit(t) for t in plan.buckets]), _bucket(F.col(key), len(plan.buckets)) + 1)
-    return df.join(F.broadcast(table), F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_task", task)
+    return df.join(F.broadcast(table), F.col(key) == F.col("__skew_key"), "left").drop("__skew_key").withColumn("__skew_task", task)
 
 
 def scatter(df: DataFrame, key: str, plan: TaskPlan, spread: Column | None = None) -> DataFrame:
-    """Sends each row to one task, `_task`: a heavy key's rows to its shards by `spread` (default: a hash of the row).
+    """Sends each row to one task, in the column `__skew_task`: a heavy key's rows to its shards by `spread` (default: a hash of the row).
 
     `spread` must be the same whenever a row is computed again, and should differ between the rows of a key.
     """
     salt = F.pmod(spread if spread is not None else F.xxhash64(*df.columns), F.lit(1 << 30)).cast("int")
-    sent = _with_targets(df.withColumn("_salt", salt), key, plan)
-    at = F.when(F.col("_tasks").isNotNull(), F.element_at("_tasks", F.col("_salt") % F.size("_tasks") + 1)).when(F.col(key).isNull(), F.col("_salt") % plan.tasks).otherwise(F.col("_task"))
-    return sent.withColumn("_task", at).drop("_tasks", "_salt").repartitionById(plan.tasks, F.col("_task"))
+    sent = _with_targets(df.withColumn("__skew_salt", salt), key, plan)
+    at = F.when(F.col("__skew_tasks").isNotNull(), F.element_at("__skew_tasks", F.col("__skew_salt") % F.size("__skew_tasks") + 1)).when(F.col(key).isNull(), F.col("__skew_salt") % plan.tasks).otherwise(F.col("__skew_task"))
+    return sent.withColumn("__skew_task", at).drop("__skew_tasks", "__skew_salt").repartitionById(plan.tasks, F.col("__skew_task"))
 
 
 def replicate(df: DataFrame, key: str, plan: TaskPlan) -> DataFrame:
     """Sends each row to every task that holds a shard of its key."""
     sent = _with_targets(df.where(F.col(key).isNotNull()), key, plan)
-    all_of = F.coalesce(F.array_distinct("_tasks"), F.array("_task"))
-    return sent.withColumn("_task", F.explode(all_of)).drop("_tasks").repartitionById(plan.tasks, F.col("_task"))
+    all_of = F.coalesce(F.array_distinct("__skew_tasks"), F.array("__skew_task"))
+    return sent.withColumn("__skew_task", F.explode(all_of)).drop("__skew_tasks").repartitionById(plan.tasks, F.col("__skew_task"))
 
 
 def balanced_join(big: DataFrame, match: DataFrame, key: str, how: str = "inner", plan: TaskPlan | None = None, spread: Column | None = None) -> DataFrame:
     """Joins `match` to `big` on `key` ('inner' or 'left'), every task with about the same number of rows of `big`.
 
     The columns of both sides stay; where a name other than the key occurs in both, that of `match` gets the ending
-    `_match`. Both sides are placed by task number, and the join adds no exchange of its own.
+    `_match`, as often as needed. Names beginning with `__skew_` are reserved. Both sides are placed by task number, and
+    the join adds no exchange of its own. With 'left', rows with a null key stay and match nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     plan = plan or plan_tasks(big, key)
-    twice = {c: f"{c}_match" for c in match.columns if c in big.columns and c != key}
+    twice, taken = {}, {*big.columns, *match.columns}
+    for c in match.columns:
+        if c in big.columns and c != key:
+            name = f"{c}_match"
+            while name in taken:
+                name += "_match"
+            twice[c] = name
+            taken.add(name)
     left = scatter(big, key, plan, spread)
     right = replicate(match.withColumnsRenamed(twice), key, plan)
-    return left.join(right, ["_task", key], how).drop("_task")
+    return left.join(right, ["__skew_task", key], how).drop("__skew_task")
 
 
 def balanced_aggregate(df: DataFrame, key: str, partial: dict[str, Column], final: dict[str, Column], plan: TaskPlan | None = None, spread: Column | None = None) -> DataFrame:
@@ -126,7 +134,7 @@ def balanced_aggregate(df: DataFrame, key: str, partial: dict[str, Column], fina
     """
     plan = plan or plan_tasks(df, key)
     sent = scatter(df.where(F.col(key).isNotNull()), key, plan, spread)
-    parts = sent.groupBy("_task", key).agg(*[c.alias(n) for n, c in partial.items()])
+    parts = sent.groupBy("__skew_task", key).agg(*[c.alias(n) for n, c in partial.items()])
     return parts.groupBy(key).agg(*[c.alias(n) for n, c in final.items()])
 
 

@@ -1,0 +1,96 @@
+import json
+
+import pytest
+
+from rillstone.plans.cut import cut, shared_dir
+from rillstone.sources import reviews as src
+from rillstone.sources import sinks
+
+from .conftest import rows, table
+
+RAW = "review_id string, user_id string, business_id string, stars double, text string, date string"
+
+
+def test_ndjson_readers(spark, tmp_path):
+    record = {"review_id": "r", "user_id": "u", "business_id": "b", "stars": 5.0, "text": "a\n\"b\"", "date": "2013-01-01 00:00:00"}
+    (tmp_path / "x.json").write_text(json.dumps(record) + "\n" + json.dumps({"review_id": "s"}) + "\n")
+    path = str(tmp_path / "x.json")
+    assert rows(src.read_ndjson(spark, path), "review_id", "text") == [("r", "a\n\"b\""), ("s", None)]
+    (tmp_path / "x.json").write_text(json.dumps(record) + "\n{broken\n")
+    assert len(rows(src.read_ndjson_as_text(spark, path))) == 2
+
+
+def test_reviews_are_trimmed_and_distinct(spark):
+    raw = table(spark, [(" r1", "u ", "b", 1.0, "t", None), ("r1", "u", " b", 1.0, "t", None), ("r2", "", "b", None, None, None), (None, "u", "b", 1.0, "", None), (" ", "u", "b", 1.0, "", None)], RAW)
+    assert rows(src.distinct_reviews(raw, "user_id", "business_id", "stars", "text"), "review_id", "user_id", "business_id", "stars", "text") == [
+        ("r1", "u", "b", 1.0, "t"),
+        ("r2", None, "b", None, None),
+    ]
+    assert rows(src.ratings(raw)) == [("u", "b", 1.0)]
+    assert rows(src.documents(raw)) == [("b", "t"), ("b", None)]
+
+
+def test_stopwords(spark, tmp_path):
+    assert src.stopwords(table(spark, [(" The ",), ("the",), ("",), (None,), ("that\t",)], "word string")) == ["that", "the"]
+    (tmp_path / "stop").write_text("And\n\nor \n")
+    assert src.read_stopwords(spark, str(tmp_path / "stop")) == ["and", "or"]
+
+
+def test_pairs_and_averages(spark):
+    pairs = table(spark, [("u", "b"), ("u", "b "), (None, "b"), ("u", "")], "user_id string, business_id string")
+    assert rows(src.test_pairs(pairs)) == [("u", "b", 2)]
+    avg = table(spark, [("u", 3.0), ("v", None), (None, 1.0)], "user_id string, avg_stars double")
+    assert rows(src.user_averages(avg)) == [("u", 3.0)]
+
+
+def test_sinks_escape_and_keep_nulls(spark, tmp_path):
+    df = table(spark, [('a"b', "c\\", None)], "user_id string, business_id string, stars double")
+    sinks.write_ndjson(df, str(tmp_path / "p"), sinks.PREDICTIONS)
+    lines = [json.loads(x) for p in (tmp_path / "p").glob("*.json") for x in p.read_text().splitlines()]
+    assert lines == [{"user_id": 'a"b', "business_id": "c\\", "stars": None}]
+
+
+def test_model_round_trips(spark, tmp_path):
+    prof = table(spark, [("i", ["a", "b"])], sinks.PROFILE_SCHEMA)
+    sinks.write_model({"bprofile": prof, "uprofile": prof}, str(tmp_path / "m"))
+    back = sinks.read_model(spark, str(tmp_path / "m"))
+    assert rows(back["bprofile"]) == rows(prof) == rows(back["uprofile"])
+    kinds = table(spark, [("bprofile", "i", ["a"]), ("ureviews", "u", ["i"])], "kind string, id string, words array<string>")
+    sinks.write_model_ndjson(kinds, str(tmp_path / "n"))
+    assert rows(sinks.read_model_ndjson(spark, str(tmp_path / "n"))) == rows(kinds)
+    with pytest.raises(ValueError):
+        sinks.write_model({"other": prof}, str(tmp_path / "x"))
+
+
+def test_model_of_lines(spark, tmp_path):
+    (tmp_path / "task.model").write_text(json.dumps({"bprofile": [["i", ["a", "b"]]]}) + "\n" + json.dumps({"uprofile": [["u", ["a"]], ["v", []]]}) + "\n")
+    got = rows(sinks.read_model_lines(spark, str(tmp_path / "task.model")))
+    assert got == [("bprofile", "i", ["a", "b"]), ("uprofile", "u", ["a"]), ("uprofile", "v", [])]
+
+
+def test_word_index(spark):
+    words = table(spark, [(f"w{i:03d}",) for i in range(100)] + [("w000",)], "word string")
+    assert rows(sinks.word_index(words)) == [(f"w{i:03d}", i + 1) for i in range(100)]
+
+
+def test_cut_keeps_rows(spark):
+    df = table(spark, [(1, None), (2, "x")], "a int, b string")
+    assert rows(cut(df, "t")) == rows(df)
+    assert rows(cut(df.where("a > 5"), "t")) == []
+
+
+def test_named_folder_wins_and_is_needed_on_a_cluster():
+    class Named:
+        class conf:
+            get = staticmethod(lambda key, default: "/shared/named/")
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    assert shared_dir(Named()) == "/shared/named"
+    with pytest.raises(ValueError):
+        shared_dir(Cluster())

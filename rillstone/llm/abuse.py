@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import rillstone.plans.cut  # noqa: F401  (functions of the package travel with the job)
@@ -28,6 +29,7 @@ POSITIVE_WEIGHT = 4.0
 TURNS = 4
 DOUBT = 0.08
 LEAST_LIMIT = 0.3
+MOST_CHARS = 40_000_000
 TAG = re.compile(r"<[^<>]*>")
 END = re.compile(r"(?<=[.!?;:])\s+|[\n|]+|(?<=[,])\s+(?=(?:and|but|so|then|plus)\b)")
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*|+€.'-]+[^\W_]+)*|[@$*|][^\W_@$*|]+")
@@ -183,12 +185,16 @@ class PassageModel:
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[str | None], np.ndarray]:
     """Texts and grades of at most `most` labelled documents, those with the smallest hash of their id.
 
-    A document with several labels has the highest of their grades; null and unknown labels say nothing.
+    The texts together have at most `MOST_CHARS` characters; from the document on that exceeds it, the rest is left out. A document with several labels has the highest of their grades; null and unknown labels say nothing.
     """
     graded = F.element_at(F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv]), F.lower(F.trim("label")))
     one = labels.where(F.lower(F.trim("label")).isin(list(GRADES))).groupBy("doc_id").agg(F.max(graded).alias("grade"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id")
+    found = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    sized = found.select("doc_id", "grade", F.char_length("text").alias("chars"))
+    within = sized.withColumn("before", F.sum("chars").over(order)).where(F.col("before") <= MOST_CHARS).select("doc_id", "grade")
+    rows = documents.select("doc_id", "text").join(F.broadcast(within), "doc_id").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return [r.text for r in rows], np.array([r.grade for r in rows], np.int64)
 
@@ -208,6 +214,8 @@ def abuse_scores(documents: DataFrame, model: PassageModel, *keep: str) -> DataF
     weights = model.model.w.astype(np.float32)
     used = np.flatnonzero(weights).astype(np.int32)
     sent = spark.sparkContext.broadcast((used, weights[used], model.model.cuts, model.limit))
+    if {*keep} & {"text", "severity", "chance", "flagged"}:
+        raise ValueError("text, severity, chance and flagged are names of the operator's own columns")
     schema = documents.select(*keep).schema
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in schema)
     return documents.select(*keep, "text").mapInArrow(_scorer(sent, keep), f"{kinds}, severity double, chance double, flagged boolean")

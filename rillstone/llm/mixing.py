@@ -25,6 +25,8 @@ def token_counts(documents: DataFrame, *keep: str, tokenizer: str = TOKENIZER) -
     """
     from public_tokenizers import PATTERN
 
+    if {*keep} & {"text", "tokens"}:
+        raise ValueError("text and tokens are names of the operator's own columns")
     with open(tokenizer, "rb") as f:
         ranks = documents.sparkSession.sparkContext.broadcast((f.read(), PATTERN))
     schema = documents.select(*keep).schema

@@ -109,7 +109,7 @@ def grouped_counts(rows: DataFrame, stopwords: list[str], by: str, shard_rows: i
     """
     if by not in ("records", "occurrences"):
         raise ValueError("by must be 'records' or 'occurrences'")
-    rows = rows.where("kind IS NOT NULL AND gid IS NOT NULL AND record IS NOT NULL")
+    rows = rows.select("kind", "gid", F.col("record").cast("string").alias("record"), "text").where("kind IS NOT NULL AND gid IS NOT NULL AND record IS NOT NULL")
     sizes = rows.groupBy("kind", "gid").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > shard_rows)
     least = F.lit(1.0 / MOST_HOT)

@@ -14,4 +14,7 @@ def top_n(items: DataFrame, group: list[str], score: str, identifier: str, n: in
     receives at most n rows of a group from each task before it. Rows equal in both columns are all candidates.
     """
     order = W.partitionBy(*group).orderBy(F.col(score).desc_nulls_last(), F.col(identifier))
-    return items.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
+    rank = "rank"
+    while rank in items.columns:
+        rank += "_"
+    return items.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n).drop(rank)

@@ -74,7 +74,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = F.col("target_share") * F.col("total")
     return full.withColumn("wanted", wanted).select(
         "source", "target_share", "max_repeats", "docs", "tokens", "wanted", F.col("total").alias("planned"),
-        F.coalesce(F.least(F.try_divide("wanted", "tokens"), F.col("max_repeats").cast("double")), F.lit(0.0)).alias("rate"),
+        F.when(F.col("tokens") > 0, F.least(F.col("wanted") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)).alias("rate"),
         (F.col("tokens") * F.col("max_repeats") >= F.col("wanted")).alias("can_reach"),
     )
 

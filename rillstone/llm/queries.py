@@ -125,7 +125,8 @@ def _sizes(s: SparkSession, d: str) -> DataFrame:
 
 def p8_found(s: SparkSession, d: str) -> DataFrame:
     """Sources that can't reach their share."""
-    return mixing.mix_plan(_sizes(s, d), src.table(s, d, "mix_target")).where("NOT can_reach").select("source")
+    sizes = cut(_sizes(s, d), "sizes")
+    return mixing.mix_plan(sizes, src.table(s, d, "mix_target")).where("NOT can_reach").select("source")
 
 
 def p8_mix(s: SparkSession, d: str) -> DataFrame:

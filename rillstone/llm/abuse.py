@@ -30,6 +30,7 @@ TURNS = 4
 DOUBT = 0.08
 LEAST_LIMIT = 0.3
 MOST_CHARS = 40_000_000
+MOST_KNOWN = 100_000
 TAG = re.compile(r"<[^<>]*>")
 END = re.compile(r"(?<=[.!?;:])\s+|[\n|]+|(?<=[,])\s+(?=(?:and|but|so|then|plus)\b)")
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*|+€.'-]+[^\W_]+)*|[@$*|][^\W_@$*|]+")
@@ -48,58 +49,72 @@ def fold(text: str) -> str:
     return text
 
 
-def passages(text: str | None) -> list[list[str]]:
-    """Words of each passage (sentence or part of one). Letters written apart are joined, signs within words read as letters."""
-    if not text:
-        return []
-    found = []
-    for part in END.split(fold(text)):
-        part = SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m.group()), part)
-        words = []
-        for token in TOKEN.findall(part):
-            if "*" in token:
-                words.append(re.sub(r"\*+", "*", token.strip(".'-!")))
-                continue
+_PLAIN: dict[str, str] = {}
+
+
+def _plain(token: str) -> str:
+    """A token as a word: signs and digits within it read as letters, masked letters as one star, long runs of a letter as one."""
+    found = _PLAIN.get(token)
+    if found is None:
+        if len(_PLAIN) > MOST_KNOWN:
+            _PLAIN.clear()
+        if "*" in token:
+            found = re.sub(r"\*+", "*", token.strip(".'-!"))
+        else:
+            found = token
             if not token.isalpha():
-                plain = re.sub(r"[.'-]", "", token)
-                token = plain if plain.isdigit() else plain.translate(SIGNS)
-            words.append(re.sub(r"(.)\1{2,}", r"\1", token))
-        if words:
-            found.append(words)
+                bare = re.sub(r"[.'-]", "", token)
+                found = bare if bare.isdigit() else bare.translate(SIGNS)
+            found = re.sub(r"(.)\1{2,}", r"\1", found)
+        _PLAIN[token] = found
     return found
 
 
-_WORDS: dict[str, list[int]] = {}
+def passages(text: str | None) -> list[list[str]]:
+    """Words of each passage (sentence or part of one). Letters written apart are joined."""
+    if not text:
+        return []
+    text = SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m.group()), fold(text))
+    found = ([_plain(t) for t in TOKEN.findall(part)] for part in END.split(text))
+    return [words for words in found if words]
 
 
-def _hash(text: str) -> int:
-    return zlib.crc32(text.encode()) % FEATURES
+_WORDS: dict[str, tuple[int, list[int]]] = {}
 
 
-def _word_features(word: str) -> list[int]:
+def _word(word: str) -> tuple[int, list[int]]:
+    """Code of a word, and its own features: the word and its four-letter pieces."""
     found = _WORDS.get(word)
     if found is None:
-        if len(_WORDS) > 200_000:
+        if len(_WORDS) > MOST_KNOWN:
             _WORDS.clear()
         padded = f"<{word}>"
-        found = _WORDS[word] = [_hash("w " + word), *(_hash("c " + padded[i : i + 4]) for i in range(len(padded) - 3))] if len(word) > 3 else [_hash("w " + word)]
+        pieces = ["w " + word] + [f"c {padded[i : i + 4]}" for i in range(len(padded) - 3) if len(word) > 3]
+        found = _WORDS[word] = (zlib.crc32(word.encode()), [zlib.crc32(x.encode()) % FEATURES for x in pieces])
     return found
 
 
-def features(words: list[str]) -> np.ndarray:
+def features(words: list[str]) -> set[int]:
     """Hashed words, pairs and triples of neighbours, pairs with one word between, and four-letter pieces of words."""
-    found: list[int] = []
+    found: set[int] = set()
+    codes = []
     for w in words:
-        found += _word_features(w)
-    crc = zlib.crc32
-    codes = [crc(w.encode()) for w in words]
-    for a, b in zip(codes, codes[1:]):
-        found.append((a * 31 + b * 17 + 1) % FEATURES)
-    for a, b in zip(codes, codes[2:]):
-        found.append((a * 37 + b * 13 + 2) % FEATURES)
-    for a, b, c in zip(codes, codes[1:], codes[2:]):
-        found.append((a * 41 + b * 29 + c * 7 + 3) % FEATURES)
-    return np.unique(np.array(found, np.int32))
+        code, own = _word(w)
+        codes.append(code)
+        found.update(own)
+    a = b = None
+    for c in codes:
+        if b is not None:
+            found.add((b * 31 + c * 17 + 1) % FEATURES)
+            if a is not None:
+                found.add((a * 37 + c * 13 + 2) % FEATURES)
+                found.add((a * 41 + b * 29 + c * 7 + 3) % FEATURES)
+        a, b = b, c
+    return found
+
+
+def as_row(found: set[int]) -> np.ndarray:
+    return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
 class PassageModel:
@@ -202,7 +217,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LA
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> PassageModel:
     """A model of a bounded sample of the labelled documents; the bound is the parameter `most`."""
     texts, grades = labelled_sample(documents, labels, most)
-    return PassageModel().fit([[features(p) for p in passages(t)] for t in texts], grades)
+    return PassageModel().fit([[as_row(features(p)) for p in passages(t)] for t in texts], grades)
 
 
 def abuse_scores(documents: DataFrame, model: PassageModel, *keep: str) -> DataFrame:
@@ -224,17 +239,23 @@ def abuse_scores(documents: DataFrame, model: PassageModel, *keep: str) -> DataF
 def _scorer(sent, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, weights, cuts, limit = sent.value
-        model = PassageModel()
-        model.model.w[used] = weights
-        model.model.cuts = cuts
+        model = OrdinalModel(FEATURES, len(GRADES))
+        model.cuts = cuts
+        table = np.zeros(FEATURES)
+        table[used] = weights
+        weight = table.tolist().__getitem__
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            z = np.full(len(texts), -np.inf)
-            for at in range(0, len(texts), 500):
-                z[at : at + 500] = model.worst([[features(p) for p in passages(t)] for t in texts[at : at + 500]])
+            z = []
+            for text in batch.column("text").to_pylist():
+                worst = -np.inf
+                for words in passages(text):
+                    found = features(words)
+                    worst = max(worst, sum(map(weight, found)) / max(len(found), Rows.SHORT) ** 0.5)
+                z.append(worst)
+            z = np.array(z, float)
             some = np.isfinite(z)
             severity, chance = np.zeros(len(z)), np.zeros(len(z))
-            severity[some], chance[some] = model.model.severity(z[some]), model.model.at_least_one(z[some])
+            severity[some], chance[some] = model.severity(z[some]), model.at_least_one(z[some])
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(severity), pa.array(chance), pa.array(chance >= limit)], [*keep, "severity", "chance", "flagged"])
 
     return run

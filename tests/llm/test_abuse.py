@@ -111,7 +111,7 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/doc_label.parquet")
     texts, grades = abuse.labelled_sample(docs, labels)
     held = np.arange(len(texts)) % 3 == 0
-    x = [[abuse.features(p) for p in abuse.passages(t)] for t in texts]
+    x = [[abuse.as_row(abuse.features(p)) for p in abuse.passages(t)] for t in texts]
     model = abuse.PassageModel().fit([r for r, h in zip(x, held) if not h], grades[~held])
     chance, bad = model.chances([r for r, h in zip(x, held) if h]), grades[held] > 0
     order = np.argsort(-chance, kind="stable")

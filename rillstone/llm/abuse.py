@@ -24,11 +24,11 @@ SIGNS = str.maketrans("013457@$!|+€", "oieastasiite")
 
 FEATURES = 1 << 18
 MOST_LABELLED = 10_000
-MOST_PASSAGES = 40_000
-POSITIVE_WEIGHT = 4.0
-TURNS = 4
-DOUBT = 0.08
-LEAST_LIMIT = 0.3
+MOST_PASSAGES = 30_000
+POSITIVE_WEIGHT = 1.5
+ROUNDS = (60, 40, 40, 100)
+DOUBT = 0.1
+LEAST_LIMIT = 0.15
 MOST_CHARS = 40_000_000
 MOST_KNOWN = 100_000
 TAG = re.compile(r"<[^<>]*>")
@@ -123,7 +123,7 @@ class PassageModel:
     Turn by turn: of a graded document the passage with the highest score is an example of its grade; passages of documents
     graded 0 are examples of grade 0, at most `MOST_PASSAGES` of them: one half spread evenly, the other those with the
     highest scores so far. The first scores are log-odds of features between graded and other documents. Examples that the
-    model of the turn before finds very unlikely are taken for wrong labels and left out.
+    model of the turn before finds very unlikely are taken for wrong labels and left out, at most half of the graded ones.
     """
 
     def __init__(self):
@@ -163,19 +163,19 @@ class PassageModel:
         z = x.dot(np.where((pos + neg >= 3) & (odds > 1.0), odds, 0.0))
         clean = np.flatnonzero(grade[doc_of] == 0)
         half = MOST_PASSAGES // 2
-        for turn in range(TURNS):
+        for turn, rounds in enumerate(ROUNDS):
             best = self._best(z, doc_of, len(rows))
             worst = best[(grade > 0) & (best >= 0)]
             if turn:
                 chance = self.model.at_least_one(z)
-                worst = worst[chance[worst] >= DOUBT]
+                worst = worst[chance[worst] >= min(DOUBT, float(np.median(chance[worst])))] if len(worst) else worst
                 clean = clean[chance[clean] <= 1 - DOUBT / 4]
             hard = clean[np.argsort(-z[clean], kind="stable")[:half]]
             even = clean[np.linspace(0, len(clean) - 1, min(half, len(clean))).astype(int)] if len(clean) else clean
             at = np.r_[worst, np.union1d(hard, even)]
             g = np.r_[grade[doc_of[worst]], np.zeros(len(at) - len(worst), np.int64)]
             weight = np.where(g > 0, POSITIVE_WEIGHT, 1.0)
-            self.model = OrdinalModel(FEATURES, len(GRADES)).fit(Rows([flat[i] for i in at], joined=True), g, weight)
+            self.model.fit(Rows([flat[i] for i in at], joined=True), g, weight, rounds=rounds)
             z = x.dot(self.model.w)
 
     @staticmethod

@@ -55,11 +55,12 @@ class OrdinalModel:
         self.w, self.cuts = np.zeros(size), np.arange(grades - 1, dtype=float)
 
     def fit(self, x: Rows, grade: np.ndarray, weight: np.ndarray, l2: float = 1e-5, rounds: int = 120, rate: float = 0.2) -> "OrdinalModel":
-        """Weighted maximum likelihood by Adam over all rows; deterministic."""
+        """Weighted maximum likelihood by Adam over all rows, from the weights as they are; deterministic."""
         n, size = weight.sum(), len(self.w)
-        for k in range(len(self.cuts)):
-            share = np.clip((weight * (grade > k)).sum() / n, 1e-4, 1 - 1e-4)
-            self.cuts[k] = max(-np.log(share / (1 - share)), self.cuts[k - 1] + 0.1 if k else -35)
+        if not self.w.any():
+            for k in range(len(self.cuts)):
+                share = np.clip((weight * (grade > k)).sum() / n, 1e-4, 1 - 1e-4)
+                self.cuts[k] = max(-np.log(share / (1 - share)), self.cuts[k - 1] + 0.1 if k else -35)
         m, v = np.zeros(size + len(self.cuts)), np.zeros(size + len(self.cuts))
         for t in range(1, rounds + 1):
             z = x.dot(self.w)

@@ -14,6 +14,7 @@ from rillstone.functions import minhash
 from rillstone.functions.similarity import positional_cosine
 from rillstone.operators import predict, profiles, setsim, skew
 from rillstone.operators import ratings as rate
+from rillstone.plans.cut import cut
 from rillstone.sources import reviews as src
 from rillstone.sources.sinks import word_index
 
@@ -32,15 +33,12 @@ def _baskets(s: SparkSession, d: str) -> DataFrame:
     return setsim.incidence(_ratings(s, d), "user", "item")
 
 
-def _tokens(s: SparkSession, d: str) -> DataFrame:
-    stop = src.stopwords(src.table(s, d, "stopword"))
-    return profiles.tokens(src.documents(src.table(s, d, "train_review")), stop)
-
-
 def _tf_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    toks = _tokens(s, d)
-    tf = profiles.term_freq(toks)
-    return tf, profiles.doc_word_counts(toks), profiles.doc_freq(tf)
+    """Term frequencies, words per document, document frequencies; texts are read and split once."""
+    stop = src.stopwords(src.table(s, d, "stopword"))
+    raw = src.table(s, d, "train_review")
+    tf = cut(profiles.term_freq(profiles.tokens(src.documents(raw, "text"), stop)), "tf")
+    return tf, profiles.doc_word_counts(tf, src.documents(raw)), profiles.doc_freq(tf)
 
 
 def _item_scores(s: SparkSession, d: str) -> DataFrame:
@@ -61,7 +59,7 @@ def _averages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _profile_scores(s: SparkSession, d: str, kernel: str) -> DataFrame:
-    items = _item_scores(s, d)
+    items = cut(_item_scores(s, d), "items")
     users = profiles.user_words(_ratings(s, d), items)
     return profiles.score_pairs(_test(s, d), profiles.as_arrays(users, "user"), profiles.as_arrays(items, "item"), kernel)
 
@@ -90,10 +88,11 @@ def _vector_cosine(s: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
-    items = profiles.top_words(_item_scores(s, d), 20)
-    users = profiles.user_words(_ratings(s, d), items, n=20)
-    pairs = lambda inc: setsim.lsh_pairs(inc, 0.5, minhash.HashFamily(), 100, 20)
-    return profiles.merged_pairs(profiles.as_arrays(users, "user"), profiles.as_arrays(items, "item"), pairs)
+    items = cut(profiles.top_words(_item_scores(s, d), 20), "items")
+    users = cut(profiles.user_words(_ratings(s, d), items, n=20), "users")
+    pairs = lambda inc: setsim.lsh_pairs(cut(inc, "merged"), 0.5, minhash.HashFamily(), 100, 20)
+    arrays = [cut(profiles.as_arrays(x, k), "profiles") for x, k in ((users, "user"), (items, "item"))]
+    return profiles.merged_pairs(*arrays, pairs)
 
 
 def _map_argmax(s: SparkSession, d: str) -> DataFrame:

@@ -28,9 +28,11 @@ def term_freq(toks: DataFrame) -> DataFrame:
     return toks.select("item", F.explode("words").alias("word")).groupBy("item", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_word_counts(toks: DataFrame) -> DataFrame:
-    """(item, n_words), with 0 for a document without words."""
-    return toks.groupBy("item").agg(F.sum(F.size("words").cast("long")).alias("n_words"))
+def doc_word_counts(tf: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item, n_words) from term frequencies, with 0 for a document without words."""
+    sums = tf.groupBy("item").agg(F.sum("tf").alias("n_words"))
+    every = docs.where("item IS NOT NULL").select("item").distinct()
+    return every.join(sums, "item", "left").select("item", F.coalesce("n_words", F.lit(0)).alias("n_words"))
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:

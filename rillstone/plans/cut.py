@@ -46,6 +46,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if path.startswith(("file:", "/")):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

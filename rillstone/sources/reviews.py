@@ -52,12 +52,12 @@ def ratings(raw: DataFrame) -> DataFrame:
     )
 
 
-def documents(raw: DataFrame) -> DataFrame:
-    """(item, text): one row per review of a business; texts are not concatenated, counts add up instead."""
+def documents(raw: DataFrame, *columns: str) -> DataFrame:
+    """(item, columns): one row per review of a business; texts are not concatenated, counts add up instead."""
     return (
-        distinct_reviews(raw, "business_id", "text")
+        distinct_reviews(raw, "business_id", *columns)
         .where(F.col("business_id").isNotNull())
-        .select(F.col("business_id").alias("item"), "text")
+        .select(F.col("business_id").alias("item"), *columns)
     )
 
 

@@ -40,9 +40,9 @@ def docs(spark, pairs):
 
 
 def test_counts_and_tfidf(spark):
-    toks = profiles.tokens(docs(spark, [("a", "cat cat dog"), ("a", "cat"), ("b", "dog bird"), ("c", "12 !!"), (None, "cat"), ("d", None)]))
-    tf = profiles.term_freq(toks)
-    counts, dfs = profiles.doc_word_counts(toks), profiles.doc_freq(tf)
+    texts = docs(spark, [("a", "cat cat dog"), ("a", "cat"), ("b", "dog bird"), ("c", "12 !!"), (None, "cat"), ("d", None)])
+    tf = profiles.term_freq(profiles.tokens(texts))
+    counts, dfs = profiles.doc_word_counts(tf, texts), profiles.doc_freq(tf)
     assert rows(tf) == [("a", "cat", 3), ("a", "dog", 1), ("b", "bird", 1), ("b", "dog", 1)]
     assert rows(counts) == [("a", 4), ("b", 2), ("c", 0), ("d", 0)]
     assert rows(dfs) == [("bird", 1), ("cat", 1), ("dog", 2)]
@@ -99,7 +99,8 @@ def test_map_argmax(spark):
 
 
 def test_empty(spark):
-    toks = profiles.tokens(docs(spark, []))
-    tf, counts = profiles.term_freq(toks), profiles.doc_word_counts(toks)
+    texts = docs(spark, [])
+    tf = profiles.term_freq(profiles.tokens(texts))
+    counts = profiles.doc_word_counts(tf, texts)
     assert rows(profiles.tfidf(tf, counts, profiles.frequent_words(profiles.doc_freq(tf), counts))) == []
     assert rows(table(spark, [], "t string").select(all_terms("t"))) == []

@@ -27,7 +27,7 @@ def test_reviews_are_trimmed_and_distinct(spark):
         ("r2", None, "b", None, None),
     ]
     assert rows(src.ratings(raw)) == [("u", "b", 1.0)]
-    assert rows(src.documents(raw)) == [("b", "t"), ("b", None)]
+    assert rows(src.documents(raw, "text")) == [("b", "t"), ("b", None)]
 
 
 def test_stopwords(spark, tmp_path):

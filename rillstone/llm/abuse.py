@@ -94,27 +94,39 @@ def _word(word: str) -> tuple[int, list[int]]:
     return found
 
 
-def features(words: list[str]) -> set[int]:
-    """Hashed words, pairs and triples of neighbours, pairs with one word between, and four-letter pieces of words."""
-    found: set[int] = set()
-    codes = []
+def _neighbours(codes: list[int]) -> list[int]:
+    """Hashed pairs and triples of neighbours, and pairs with one word between."""
+    pairs = [(b * 31 + c * 17 + 1) % FEATURES for b, c in zip(codes, codes[1:])]
+    pairs += [(a * 37 + c * 13 + 2) % FEATURES for a, c in zip(codes, codes[2:])]
+    pairs += [(a * 41 + b * 29 + c * 7 + 3) % FEATURES for a, b, c in zip(codes, codes[1:], codes[2:])]
+    return pairs
+
+
+def features(words: list[str]) -> np.ndarray:
+    """Hashed features of a passage, as often as they occur: those of its words and of their neighbourhoods."""
+    known = [_word(w) for w in words]
+    found = _neighbours([code for code, _ in known])
+    for _, own in known:
+        found += own
+    return np.array(found, np.int32)
+
+
+def passage_score(words: list[str], weights: list[float], known: dict[str, tuple[int, float, int]]) -> float:
+    """The score `Rows.dot` gives the features of a passage; `known` keeps the part of each word for a given model."""
+    total, length, codes = 0.0, 0, []
     for w in words:
-        code, own = _word(w)
-        codes.append(code)
-        found.update(own)
-    a = b = None
-    for c in codes:
-        if b is not None:
-            found.add((b * 31 + c * 17 + 1) % FEATURES)
-            if a is not None:
-                found.add((a * 37 + c * 13 + 2) % FEATURES)
-                found.add((a * 41 + b * 29 + c * 7 + 3) % FEATURES)
-        a, b = b, c
-    return found
-
-
-def as_row(found: set[int]) -> np.ndarray:
-    return np.sort(np.fromiter(found, np.int32, len(found)))
+        part = known.get(w)
+        if part is None:
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            code, own = _word(w)
+            part = known[w] = (code, sum(map(weights.__getitem__, own)), len(own))
+        codes.append(part[0])
+        total += part[1]
+        length += part[2]
+    near = _neighbours(codes)
+    length += len(near)
+    return (total + sum(map(weights.__getitem__, near))) / max(length, Rows.SHORT) ** 0.5
 
 
 class PassageModel:
@@ -217,7 +229,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LA
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> PassageModel:
     """A model of a bounded sample of the labelled documents; the bound is the parameter `most`."""
     texts, grades = labelled_sample(documents, labels, most)
-    return PassageModel().fit([[as_row(features(p)) for p in passages(t)] for t in texts], grades)
+    return PassageModel().fit([[features(p) for p in passages(t)] for t in texts], grades)
 
 
 def abuse_scores(documents: DataFrame, model: PassageModel, *keep: str) -> DataFrame:
@@ -243,15 +255,11 @@ def _scorer(sent, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]],
         model.cuts = cuts
         table = np.zeros(FEATURES)
         table[used] = weights
-        weight = table.tolist().__getitem__
+        table, known = table.tolist(), {}
         for batch in batches:
             z = []
             for text in batch.column("text").to_pylist():
-                worst = -np.inf
-                for words in passages(text):
-                    found = features(words)
-                    worst = max(worst, sum(map(weight, found)) / max(len(found), Rows.SHORT) ** 0.5)
-                z.append(worst)
+                z.append(max((passage_score(words, table, known) for words in passages(text)), default=-np.inf))
             z = np.array(z, float)
             some = np.isfinite(z)
             severity, chance = np.zeros(len(z)), np.zeros(len(z))

@@ -10,7 +10,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Sparse 0/1 rows, scaled by the root of their length; rows shorter than `SHORT` count as that long."""
+    """Sparse rows of features, each counted as often as it occurs, scaled by the root of their length; rows shorter than
+    `SHORT` count as that long."""
 
     SHORT = 40
     CHUNK = 20_000

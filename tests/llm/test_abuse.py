@@ -58,6 +58,14 @@ def test_passages(text, want):
     assert abuse.passages(text) == want
 
 
+def test_passage_score_is_that_of_the_rows():
+    weights = np.random.default_rng(2).normal(size=abuse.FEATURES)
+    known = {}
+    for words in (["one"], ["a", "b"], ["go", "away", "you", "go", "away"], ["longer", "words", "here"] * 20):
+        want = Rows([abuse.features(words)]).dot(weights)[0]
+        assert abuse.passage_score(words, weights.tolist(), known) == pytest.approx(want)
+
+
 def synthetic(n, seed=0):
     rng = random.Random(seed)
     plain = ["the soup was cold", "we waited an hour", "lovely terrace and view", "to die for, really", "the {} was fine"]
@@ -111,7 +119,7 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/doc_label.parquet")
     texts, grades = abuse.labelled_sample(docs, labels)
     held = np.arange(len(texts)) % 3 == 0
-    x = [[abuse.as_row(abuse.features(p)) for p in abuse.passages(t)] for t in texts]
+    x = [[abuse.features(p) for p in abuse.passages(t)] for t in texts]
     model = abuse.PassageModel().fit([r for r, h in zip(x, held) if not h], grades[~held])
     chance, bad = model.chances([r for r, h in zip(x, held) if h]), grades[held] > 0
     order = np.argsort(-chance, kind="stable")

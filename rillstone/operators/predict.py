@@ -10,47 +10,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillstone.operators.ratings import rating_means
+
+FIRST = 64
 
 
 def _repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_", "times")
 
 
-def _best(neighbours: DataFrame, n: int) -> DataFrame:
-    """The n reviews with the largest weight per test pair, ties by the smaller neighbour id.
+def _places(ranked_by: W, n: int, zero_places: Column) -> Column:
+    """How many of the n places a neighbour with `reviews` reviews takes.
 
-    A neighbour who reviewed more than once takes a place for each review: it comes with its number of reviews, and its
-    places are counted from a running total, so repeated reviews need no rows of their own.
+    Places go to positive weights, then to the `zero_places` reviews of weight 0 that have no rows here, then to negative
+    weights; a neighbour who reviewed more than once takes a place for each review.
     """
-    order = W.partitionBy("user", "item").orderBy(F.col("w").desc(), "other")
-    before = F.coalesce(F.sum("reviews").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = neighbours.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    taken = ranked.withColumn("taken", F.least(F.col("reviews"), F.greatest(n - before, F.lit(0))))
-    return taken.where("taken > 0")
-
-
-def _symmetric(weights: DataFrame, a: str, b: str) -> DataFrame:
-    """One row per unordered pair; where both directions are stored they agree."""
-    return weights.groupBy(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.max("sim").alias("sim"))
+    before = F.coalesce(F.sum("reviews").over(ranked_by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = before + F.when(F.col("w") < 0, zero_places).otherwise(F.lit(0))
+    return F.least(F.col("reviews"), F.greatest(F.lit(n) - before, F.lit(0)))
 
 
-def _weighted(neighbours: DataFrame, weights: DataFrame, mine: Column) -> DataFrame:
-    keyed = neighbours.withColumn("lo", F.least(mine, F.col("other"))).withColumn("hi", F.greatest(mine, F.col("other")))
-    return keyed.join(weights, ["lo", "hi"], "left").withColumn("w", F.coalesce("sim", F.lit(0.0))).drop("lo", "hi", "sim")
+def _both_ways(weights: DataFrame, a: str, b: str) -> DataFrame:
+    """(mine, other, w) in both directions, one row each; where both are stored they agree."""
+    once = weights.groupBy(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.max("sim").alias("w"))
+    two = F.array(F.struct(F.col("lo").alias("mine"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("mine"), F.col("lo").alias("other")))
+    return once.select(F.explode(two).alias("p"), "w").select("p.mine", "p.other", "w")
 
 
 def predict_item_based(ratings: DataFrame, weights: DataFrame, test: DataFrame, n: int = 2) -> DataFrame:
     """(user, item, stars): mean of the user's ratings of the n items most similar to the item, by weight.
 
-    Pairs whose user is unseen, or whose neighbours all have weight 0, get no row.
+    Pairs whose user is unseen, or whose neighbours all have weight 0, get no row. A pair meets the stored weights of its item
+    only; what the user reviewed besides counts as places of weight 0 and needs no rows.
     """
-    reviewed = ratings.where("stars IS NOT NULL").groupBy("user", F.col("item").alias("other")).agg(F.count(F.lit(1)).alias("reviews"), F.avg("stars").alias("r"))
-    near = _best(_weighted(test.join(reviewed, "user"), _symmetric(weights, "b1", "b2"), F.col("item")), n)
-    found = near.groupBy("user", "item", "times").agg(
+    rated = ratings.where("stars IS NOT NULL")
+    reviewed = rated.groupBy("user", F.col("item").alias("other")).agg(F.count(F.lit(1)).alias("reviews"), F.avg("stars").alias("r"))
+    totals = rated.groupBy("user").agg(F.count(F.lit(1)).alias("all_reviews"))
+    stored = _both_ways(weights, "b1", "b2").where("w <> 0").withColumnRenamed("mine", "item")
+    near = test.join(stored, "item").join(reviewed, ["user", "other"]).join(totals, "user")
+    pair = W.partitionBy("user", "item")
+    zeros = F.col("all_reviews") - F.sum("reviews").over(pair)
+    order = pair.orderBy(F.col("w").desc(), "other")
+    taken = near.withColumn("taken", _places(order, n, zeros)).where("taken > 0")
+    found = taken.groupBy("user", "item", "times").agg(
         F.sum(F.col("r") * F.col("w") * F.col("taken")).alias("top"), F.sum(F.abs("w") * F.col("taken")).alias("under")
     )
-    return _repeated(found.where("under > 0").select("user", "item", "times", F.round(F.col("top") / F.col("under"), 6).alias("stars")))
+    return _repeated(found.select("user", "item", "times", F.round(F.col("top") / F.col("under"), 6).alias("stars")))
 
 
 def predict_user_average(ratings: DataFrame, averages: DataFrame, test: DataFrame) -> DataFrame:
@@ -63,27 +67,53 @@ def predict_user_average(ratings: DataFrame, averages: DataFrame, test: DataFram
     return _repeated(known.select("user", "item", "times", F.when(F.col("seen"), F.col("avg_stars")).alias("stars")))
 
 
-def predict_user_based(ratings: DataFrame, weights: DataFrame, averages: DataFrame, test: DataFrame, n: int = 2) -> DataFrame:
+def _raters(ratings: DataFrame, averages: DataFrame) -> DataFrame:
+    """(item, other, reviews, r, avg_other): every rater of an item, with the mean rating and the average, null where missing."""
+    counts = ratings.groupBy("item", F.col("user").alias("other")).agg(F.count(F.lit(1)).alias("reviews"), F.avg("stars").alias("r"))
+    theirs = averages.select(F.col("user").alias("other"), F.col("avg_stars").alias("avg_other"))
+    return counts.join(theirs, "other", "left")
+
+
+def _user_parts(near: DataFrame, n: int) -> DataFrame:
+    """Sums over the places of each pair from rows (user, item, other, w, reviews, r, avg_other)."""
+    order = W.partitionBy("user", "item").orderBy(F.col("w").desc(), "other")
+    taken = near.withColumn("taken", _places(order, n, F.lit(0))).where("taken > 0")
+    return taken.groupBy("user", "item").agg(
+        F.sum((F.col("r") - F.col("avg_other")) * F.col("w") * F.col("taken")).alias("top"),
+        F.sum(F.abs("w") * F.col("taken")).alias("under"),
+        F.count_if(F.col("r").isNull() | F.col("avg_other").isNull()).alias("missing"),
+    )
+
+
+def predict_user_based(ratings: DataFrame, weights: DataFrame, averages: DataFrame, test: DataFrame, n: int = 2, first: int = FIRST) -> DataFrame:
     """(user, item, stars): the user's average plus the weighted deviations of the n most similar raters of the item.
 
     In this order: null if the item is unseen or the user has no average; the average if all chosen weights are 0; null
     if a chosen rater has no average or no rating; else the weighted mean.
+
+    A pair meets the raters the user has a stored weight with, and the `first` raters of the item by id, who fill places
+    of weight 0. Where the item has more raters, but fewer than n of those first ones have weight 0 for the user, the pair
+    meets all raters instead; such pairs are few, as the user needs stored weights with nearly all of the first ones.
     """
-    raters = ratings.groupBy("item", F.col("user").alias("other")).agg(F.count(F.lit(1)).alias("reviews"))
-    means = rating_means(ratings).select("item", F.col("user").alias("other"), "r")
+    raters = _raters(ratings, averages)
+    by_id = W.partitionBy("item").orderBy("other")
+    leading = raters.withColumn("at", F.row_number().over(by_id)).where(F.col("at") <= first)
+    many = ratings.groupBy("item").agg(F.countDistinct("user").alias("raters")).where(F.col("raters") > first)
+    stored = _both_ways(weights, "u1", "u2").withColumnRenamed("mine", "user")
     asked = test.join(averages, "user", "left")
-    near = _best(_weighted(asked.where("avg_stars IS NOT NULL").join(raters, "item"), _symmetric(weights, "u1", "u2"), F.col("user")), n)
-    theirs = averages.select(F.col("user").alias("other"), F.col("avg_stars").alias("avg_other"))
-    parts = (
-        near.join(means, ["item", "other"], "left")
-        .join(theirs, "other", "left")
-        .groupBy("user", "item")
-        .agg(
-            F.sum((F.col("r") - F.col("avg_other")) * F.col("w") * F.col("taken")).alias("top"),
-            F.sum(F.abs("w") * F.col("taken")).alias("under"),
-            F.count_if(F.col("r").isNull() | F.col("avg_other").isNull()).alias("missing"),
-        )
+    able = asked.where("avg_stars IS NOT NULL").select("user", "item")
+    known = able.join(stored, "user").join(raters, ["item", "other"])
+    filling = able.join(leading.drop("at"), "item").join(stored, ["user", "other"], "left")
+    unstored = filling.where("w IS NULL").withColumn("w", F.lit(0.0))
+    near = known.unionByName(unstored.select(known.columns))
+    short = (
+        able.join(many, "item")
+        .join(filling.where("coalesce(w, 0) = 0").groupBy("user", "item").agg(F.count(F.lit(1)).alias("zeros")), ["user", "item"], "left")
+        .where(F.coalesce("zeros", F.lit(0)) < n)
+        .select("user", "item")
     )
+    rest = short.join(raters, "item").join(stored, ["user", "other"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    parts = _user_parts(near.join(short, ["user", "item"], "left_anti"), n).unionByName(_user_parts(rest, n))
     full = asked.join(parts, ["user", "item"], "left")
     stars = (
         F.when(F.col("under").isNull() | F.col("avg_stars").isNull(), F.lit(None))

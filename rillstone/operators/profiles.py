@@ -15,6 +15,7 @@ from rillstone.functions.text import all_terms, content_terms
 
 RARE = 0.0001
 PROFILE_WORDS = 200
+MOST_BROADCAST = 100_000
 
 
 def tokens(docs: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -41,9 +42,14 @@ def doc_freq(tf: DataFrame) -> DataFrame:
 
 
 def frequent_words(dfs: DataFrame, counts: DataFrame, least: float = RARE) -> DataFrame:
-    """(word, df) of the words whose documents are at least `least` of all words in the collection."""
+    """(word, df) of the words whose documents are at least `least` of all words in the collection.
+
+    Documents per word add up to no more than the words of the collection, so at most 1 / least words are kept; if these are few,
+    the result is marked for broadcast.
+    """
     total = counts.agg(F.sum("n_words").cast("double").alias("total"))
-    return dfs.join(F.broadcast(total)).where(F.col("df") >= F.col("total") * F.lit(least)).select("word", "df")
+    kept = dfs.join(F.broadcast(total)).where(F.col("df") >= F.col("total") * F.lit(least)).select("word", "df")
+    return F.broadcast(kept) if least * MOST_BROADCAST >= 1 else kept
 
 
 def tfidf(tf: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from rillstone.operators import predict, ratings
@@ -60,6 +62,26 @@ def test_repeated_reviews_take_a_place_each(spark):
     assert rows(predict.predict_user_based(df, w, avg, table(spark, [("u", "t", 1)], T))) == [("u", "t", 4.0)]
 
 
+def test_first_raters_give_the_same_as_all(spark):
+    rng = random.Random(1)
+    df = table(spark, [(f"v{rng.randrange(12):02d}", f"t{rng.randrange(4)}", float(rng.randrange(1, 6))) for _ in range(60)], R)
+    pairs = {(a, b): rng.choice([-0.5, 0.0, 0.25, 0.5]) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.7}
+    w = table(spark, [(f"v{a:02d}", f"v{b:02d}", s) for (a, b), s in pairs.items()], "u1 string, u2 string, sim double")
+    avg = table(spark, [(f"v{i:02d}", 2.0 + i / 7) for i in range(12) if i != 5], A)
+    test = table(spark, [(f"v{u:02d}", f"t{i}", 1) for u in range(12) for i in range(4)], T)
+    every = rows(predict.predict_user_based(df, w, avg, test, 3))
+    for first in (3, 5):
+        assert rows(predict.predict_user_based(df, w, avg, test, 3, first)) == every
+
+
+def test_negative_item_weights_come_after_unstored_ones(spark):
+    df = table(spark, [("u", "a", 2.0), ("u", "b", 4.0), ("u", "c", 5.0)], R)
+    w = table(spark, [("t", "a", 0.5), ("t", "b", -0.5)], "b1 string, b2 string, sim double")
+    test = table(spark, [("u", "t", 1)], T)
+    assert rows(predict.predict_item_based(df, w, test, 2)) == [("u", "t", 2.0)]
+    assert rows(predict.predict_item_based(df, w, test, 3)) == [("u", "t", -1.0)]
+
+
 def test_user_based_null_rules(spark):
     df = table(spark, [("v", "t", 4.0)], R)
     w = table(spark, [("u", "v", 0.5)], "u1 string, u2 string, sim double")

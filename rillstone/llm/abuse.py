@@ -31,7 +31,7 @@ DOUBT = 0.1
 LEAST_LIMIT = 0.15
 MOST_CHARS = 40_000_000
 MOST_KNOWN = 100_000
-TAG = re.compile(r"<[^<>]*>")
+TAG = re.compile(r"<!--.*?-->|<[/!?]?[a-zA-Z][^<>]*>", re.S)
 END = re.compile(r"(?<=[.!?;:])\s+|[\n|]+|(?<=[,])\s+(?=(?:and|but|so|then|plus)\b)")
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*|+€.'-]+[^\W_]+)*|[@$*|][^\W_@$*|]+")
 SPACED = re.compile(r"\b(?:[^\W\d_][ .*_-]){2,}[^\W\d_]\b")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import rillstone.plans.cut  # noqa: F401  (functions of the package travel with the job)
 
 INLINE_TAG = re.compile(r"</?(?:a|abbr|b|big|cite|code|em|font|i|mark|small|span|strong|sub|sup|u|wbr)(?:\s[^<>]*)?/?>", re.I)
-TAG = re.compile(r"<[^<>]*>")
+TAG = re.compile(r"<!--.*?-->|<[/!?]?[a-zA-Z][^<>]*>", re.S)
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 WORD = re.compile(r"[^\W_]+")
 BLOCK_CHARS = 20_000_000

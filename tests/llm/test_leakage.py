@@ -20,6 +20,7 @@ D, I = "doc_id long, text string, item_id long, tiles int", "item_id long, text
         ("", []),
         (None, []),
         ("<><<>>", []),
+        ("3 < 5 and 6 > 2 <!-- no --> <br/>end", ["3", "5", "and", "6", "2", "end"]),
     ],
 )
 def test_plain_words(text, want):

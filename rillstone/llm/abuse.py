@@ -28,7 +28,7 @@ MOST_PASSAGES = 30_000
 POSITIVE_WEIGHT = 1.5
 ROUNDS = (60, 40, 40, 100)
 DOUBT = 0.1
-LEAST_LIMIT = 0.15
+LEAST_LIMIT = 0.25
 MOST_CHARS = 40_000_000
 MOST_KNOWN = 100_000
 TAG = re.compile(r"<!--.*?-->|<[/!?]?[a-zA-Z][^<>]*>", re.S)

@@ -69,16 +69,26 @@ def pair_counts(inc: DataFrame, least: int = 5, most_share: float | None = None)
     return named, items, n_baskets
 
 
+def degree_classes(df: DataFrame, column: str) -> list[tuple[float, int]]:
+    """(mean size, number) of the classes of sizes in `column`, in rising order.
+
+    Sizes up to `EXACT_SIZES` have a class of their own; larger ones share classes `SIZE_STEP` wide, so a few thousand
+    classes reach the driver at any scale.
+    """
+    d = F.col(column).cast("double")
+    kind = F.when(d <= EXACT_SIZES, d).otherwise(EXACT_SIZES + 1 + F.floor(F.log(d / EXACT_SIZES) / F.log(F.lit(SIZE_STEP))))
+    found = df.groupBy(kind.alias("kind")).agg(F.avg(d).alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    return sorted((float(r["size"]), int(r["n"])) for r in found)
+
+
 class ConfigurationNull:
     """Independent memberships p(item, basket) = x y / (1 + x y), with x by basket size and y by item frequency.
 
-    The x and y are fitted so that every size and every frequency is met in expectation. Sizes up to `EXACT_SIZES` have a
-    class of their own; larger ones share classes `SIZE_STEP` wide, so the classes stay few at any scale.
+    The x and y are fitted so that every size and every frequency is met in expectation. Both are given as classes (size, number).
     """
 
-    def __init__(self, item_degrees: dict[int, int], basket_degrees: dict[int, int], rounds: int = 2000, tolerance: float = 1e-9):
-        self.d, nd = self._classes(item_degrees)
-        self.k, self.nk = self._classes(basket_degrees)
+    def __init__(self, items: list[tuple[float, int]], baskets: list[tuple[float, int]], rounds: int = 2000, tolerance: float = 1e-9):
+        (self.d, nd), (self.k, self.nk) = (np.array(sorted(c), float).reshape(-1, 2).T for c in (items, baskets))
         links = max(float((self.d * nd).sum()), 1.0)
         x, y = self.k / np.sqrt(links), self.d / np.sqrt(links)
         for _ in range(rounds):
@@ -93,17 +103,6 @@ class ConfigurationNull:
         xy = np.outer(x, y)
         self.p = xy / (1 + xy)
 
-    @staticmethod
-    def _classes(degrees: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        sums: dict[int, list[float]] = {}
-        for d, n in degrees.items():
-            c = d if d <= EXACT_SIZES else EXACT_SIZES + 1 + int(np.log(d / EXACT_SIZES) / np.log(SIZE_STEP))
-            s = sums.setdefault(c, [0.0, 0.0])
-            s[0] += d * n
-            s[1] += n
-        both = np.array([sums[c] for c in sorted(sums)], float).reshape(-1, 2)
-        return both[:, 0] / np.maximum(both[:, 1], 1), both[:, 1]
-
     def log10_tail(self, d1: np.ndarray, d2: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected common baskets, and log10 P(C >= c) of the Poisson-binomial count C by the saddlepoint method."""
         at = [np.abs(np.log(self.d[None, :] / d[:, None])).argmin(1) for d in (d1.astype(float), d2.astype(float))]
@@ -155,10 +154,7 @@ def surprise(pairs: DataFrame, items: DataFrame, baskets: DataFrame, n_baskets:
     `least` baskets, pairs that don't occur counting as p = 1. P-values are rounded up to a thousandth of a decade, so that
     the adjustment needs only their counts, not a sort of all pairs in one place.
     """
-    def degrees(df: DataFrame, column: str) -> dict[int, int]:
-        return {int(r[0]): int(r[1]) for r in df.groupBy(column).count().collect()}
-
-    null = ConfigurationNull(degrees(items, "n"), degrees(baskets, "m"))
+    null = ConfigurationNull(degree_classes(items, "n"), degree_classes(baskets, "m"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

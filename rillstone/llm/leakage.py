@@ -19,7 +19,7 @@ INLINE_TAG = re.compile(r"</?(?:a|abbr|b|big|cite|code|em|font|i|mark|small|span
 TAG = re.compile(r"<!--.*?-->|<[/!?]?[a-zA-Z][^<>]*>", re.S)
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 WORD = re.compile(r"[^\W_]+")
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 5_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = 0
 

@@ -126,7 +126,7 @@ def test_null_meets_degrees_and_tails():
     items, baskets = {3: 30, 10: 12, 40: 2}, {1: 40, 2: 25, 5: 12, 20: 4}
     links = sum(d * n for d, n in items.items())
     baskets[1] += links - sum(d * n for d, n in baskets.items())
-    null = cooccurrence.ConfigurationNull(items, baskets)
+    null = cooccurrence.ConfigurationNull(list(items.items()), list(baskets.items()))
     assert (null.p @ np.array([30, 12, 2])) == pytest.approx([1, 2, 5, 20], rel=1e-4)
     assert (null.nk @ null.p) == pytest.approx([3, 10, 40], rel=1e-4)
     d1, d2, c = np.array([10, 10, 40, 40, 3]), np.array([10, 10, 40, 10, 3]), np.array([5, 9, 20, 7, 3])
@@ -138,6 +138,12 @@ def test_null_meets_degrees_and_tails():
             assert tail[k] == pytest.approx(np.log10(exact_tail(p, null.nk, c[k])), abs=0.05)
 
 
+def test_size_classes(spark):
+    df = table(spark, [(d,) for d in (1, 1, 3, 512, 513, 514, 600, 10**9)], "m long")
+    assert cooccurrence.degree_classes(df, "m") == [(1.0, 2), (3.0, 1), (512.0, 1), (513.5, 2), (600.0, 1), (1e9, 1)]
+    assert cooccurrence.degree_classes(df.limit(0), "m") == []
+
+
 def test_false_discovery_adjustment(spark):
     rng = random.Random(3)
     pairs = [(f"i{rng.randrange(30)}", f"b{rng.randrange(80)}") for _ in range(900)] + [(k, f"c{b}") for k in ("x", "y") for b in range(15)]

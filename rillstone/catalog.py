@@ -88,11 +88,11 @@ def _vector_cosine(s: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
+    """Profiles of 20 words, 100 hashes in 20 bands."""
     items = cut(profiles.top_words(_item_scores(s, d), 20), "items")
-    users = cut(profiles.user_words(_ratings(s, d), items, n=20), "users")
-    pairs = lambda inc: setsim.lsh_pairs(cut(inc, "merged"), 0.5, minhash.HashFamily(), 100, 20)
+    users = profiles.user_words(_ratings(s, d), items, n=20)
     arrays = [cut(profiles.as_arrays(x, k), "profiles") for x, k in ((users, "user"), (items, "item"))]
-    return profiles.merged_pairs(*arrays, pairs)
+    return profiles.merged_pairs(*arrays, lambda inc: cut(setsim.band_keys(setsim.signatures(inc, hashes=100), 20, 5), "buckets"))
 
 
 def _map_argmax(s: SparkSession, d: str) -> DataFrame:
@@ -276,6 +276,18 @@ rep AS (SELECT usr, word FROM uw, LATERAL (SELECT unnest(range(uw.times))) AS t(
 top AS (SELECT * FROM rep QUALIFY row_number() OVER (PARTITION BY usr ORDER BY substring(word, 2, 1) DESC, word) <= 200) SELECT DISTINCT usr AS "user", word FROM top""",
     "binary_cosine": f"WITH {USERS}, {TEST}" + _KERNEL_SQL.format("len(list_intersect(uw, iw)) / (sqrt(len(uw)) * sqrt(len(iw)))"),
     "containment": f"WITH {USERS}, {TEST}" + _KERNEL_SQL.format("len(list_intersect(uw, iw)) / len(uw)::DOUBLE"),
+    "merged_profile_pairs": f"""WITH {SCORES}, ip AS (SELECT * FROM prof QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, word) <= 20),
+uw AS (SELECT usr, word, round(sum(score), 6) AS score FROM rat JOIN ip USING (item) GROUP BY 1, 2),
+up AS (SELECT usr, word FROM uw QUALIFY row_number() OVER (PARTITION BY usr ORDER BY score DESC, word) <= 20),
+inc AS (SELECT item AS key, word AS member, true AS is_item FROM ip UNION ALL SELECT usr, word, false FROM up WHERE usr NOT IN (SELECT item FROM ip)),
+ids AS (SELECT member, row_number() OVER (ORDER BY member) - 1 AS x FROM (SELECT DISTINCT member FROM inc)),
+base AS (SELECT key, is_item, (9679 * x + 23143) % 27351 + (9679 * x + 23143) % 502687 % 27351 AS t FROM inc JOIN ids USING (member)),
+sig AS (SELECT key, is_item, i, min((i * t + i * i) % 502687 % 27351) AS h FROM base, (SELECT unnest(range(1, 101)) AS i) GROUP BY 1, 2, 3),
+ban AS (SELECT key, is_item, (i - 1) // 5 AS band, list(h ORDER BY i) AS slice FROM sig GROUP BY 1, 2, 3),
+cand AS (SELECT DISTINCT x.key AS usr, y.key AS item FROM ban x JOIN ban y USING (band, slice) WHERE y.is_item AND NOT x.is_item),
+arr AS (SELECT key, list(member) AS w FROM inc GROUP BY 1),
+s AS (SELECT usr, item, round(len(list_intersect(p.w, q.w)) / (sqrt(len(p.w)) * sqrt(len(q.w))), 6) AS sim FROM cand JOIN arr p ON p.key = usr JOIN arr q ON q.key = item)
+SELECT usr AS "user", item, sim FROM s WHERE sim >= 0.01::DOUBLE""",
     "vector_cosine": """SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) /
   (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5) AS sim
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",

@@ -6,12 +6,15 @@ have no words, but their item counts as a document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillstone.functions.similarity import binary_cosine, containment
 from rillstone.functions.text import all_terms, content_terms
+from rillstone.operators.setsim import candidates_between
 
 RARE = 0.0001
 PROFILE_WORDS = 200
@@ -111,21 +114,22 @@ def score_pairs(test: DataFrame, users: DataFrame, items: DataFrame, kernel: str
     return scored.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("user", "item", "sim")
 
 
-def merged_pairs(users: DataFrame, items: DataFrame, inc_pairs, least: float = 0.01) -> DataFrame:
-    """(user, item, sim) of similar user and item profiles without test pairs.
+def merged_pairs(users: DataFrame, items: DataFrame, buckets: Callable[[DataFrame], DataFrame], least: float = 0.01) -> DataFrame:
+    """(user, item, sim) of similar user and item profiles without test pairs, by the binary cosine.
 
-    Profiles of both kinds are merged, an item's winning over a user's of the same id; `inc_pairs` gives candidate pairs
-    (k1, k2) of the merged (key, member) rows, and those of a user and an item are scored by the binary cosine.
+    Profiles of both kinds are merged, an item's winning over a user's of the same id; `buckets` gives the LSH buckets
+    (key, band, rows) of the merged (key, member) rows. Users are compared with items of a shared bucket only.
     """
     users = users.join(items.select("id"), "id", "left_anti")
-    merged = users.withColumn("kind", F.lit("user")).unionByName(items.withColumn("kind", F.lit("item")))
-    found = inc_pairs(merged.select(F.col("id").alias("key"), F.explode("words").alias("member")))
-    one = merged.select(F.col("id").alias("k1"), F.col("kind").alias("kind1"), F.col("words").alias("w1"))
-    two = merged.select(F.col("id").alias("k2"), F.col("kind").alias("kind2"), F.col("words").alias("w2"))
-    both = found.select("k1", "k2").join(one, "k1").join(two, "k2").where("kind1 <> kind2")
-    scored = both.withColumn("sim", F.round(binary_cosine(F.col("w1"), F.col("w2")), 6)).where(F.col("sim") >= F.lit(float(least)))
-    first = F.col("kind1") == "user"
-    return scored.select(F.when(first, F.col("k1")).otherwise(F.col("k2")).alias("user"), F.when(first, F.col("k2")).otherwise(F.col("k1")).alias("item"), "sim")
+    merged = users.unionByName(items)
+    found = buckets(merged.select(F.col("id").alias("key"), F.explode("words").alias("member")))
+    of_items = found.join(items.select(F.col("id").alias("key")), "key", "left_semi")
+    of_users = found.join(users.select(F.col("id").alias("key")), "key", "left_semi")
+    pairs = candidates_between(of_users, of_items).select(F.col("k1").alias("user"), F.col("k2").alias("item"))
+    one = users.select(F.col("id").alias("user"), F.col("words").alias("uw"))
+    two = items.select(F.col("id").alias("item"), F.col("words").alias("iw"))
+    both = pairs.join(one, "user").join(two, "item")
+    return both.withColumn("sim", F.round(binary_cosine(F.col("uw"), F.col("iw")), 6)).where(F.col("sim") >= F.lit(float(least))).select("user", "item", "sim")
 
 
 def map_argmax(df: DataFrame, column: str) -> DataFrame:

@@ -89,6 +89,18 @@ def candidates(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
     return common_members(members, block=block).select("k1", "k2")
 
 
+def candidates_between(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distinct (k1, k2) of a key of `left` and one of `right` that share a bucket.
+
+    A bucket with more than `block` keys of `left` is split by a hash of the key; the keys of `right` go to every part.
+    """
+    sizes = left.groupBy("band", "rows").agg(F.count(F.lit(1)).alias("m"))
+    parts = sizes.withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
+    one = left.join(parts, ["band", "rows"]).select("band", "rows", F.col("key").alias("k1"), F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"))
+    two = right.join(parts, ["band", "rows"]).select("band", "rows", F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return one.join(two, ["band", "rows", "part"]).select("k1", "k2").distinct()
+
+
 def verified(pairs: DataFrame, inc: DataFrame, threshold: float) -> DataFrame:
     """(k1, k2, sim) of the candidate pairs whose exact Jaccard reaches `threshold`."""
     left = pairs.join(inc.select(F.col("key").alias("k1"), "member"), "k1")

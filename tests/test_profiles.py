@@ -88,10 +88,18 @@ def test_scores_of_test_pairs(spark):
 def test_merged_pairs_item_wins(spark):
     users = table(spark, [("u", ["a", "b"]), ("both", ["a", "b"])], "id string, words array<string>")
     items = table(spark, [("i", ["a", "b"]), ("both", ["x", "y"])], "id string, words array<string>")
-    got = rows(profiles.merged_pairs(users, items, lambda inc: setsim.exact_pairs(inc, 0.5)))
+    got = rows(profiles.merged_pairs(users, items, lambda inc: setsim.band_keys(setsim.signatures(inc, hashes=4), 2, 2)))
     assert got == [("u", "i", 1.0)]
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_candidates_between_two_sides(spark, block):
+    schema = "key string, band int, rows array<long>"
+    left = table(spark, [(f"l{i}", 0, [1]) for i in range(7)] + [("l1", 1, [2])], schema)
+    right = table(spark, [("r1", 0, [1]), ("r1", 1, [2]), ("r2", 1, [9])], schema)
+    assert rows(setsim.candidates_between(left, right, block)) == [(f"l{i}", "r1") for i in range(7)]
+
+
 def test_map_argmax(spark):
     df = table(spark, [({"a": {"x": 1, "y": 5}, "b": {"x": 5}, "c": {}},)], "m map<string,map<string,int>>")
     assert rows(profiles.map_argmax(df, "m")) == [("a", "y", 5)]

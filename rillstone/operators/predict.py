@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rillstone.plans.cut import cut
 
 FIRST = 64
 
@@ -95,11 +96,11 @@ def predict_user_based(ratings: DataFrame, weights: DataFrame, averages: DataFra
     of weight 0. Where the item has more raters, but fewer than n of those first ones have weight 0 for the user, the pair
     meets all raters instead; such pairs are few, as the user needs stored weights with nearly all of the first ones.
     """
-    raters = _raters(ratings, averages)
+    raters = cut(_raters(ratings, averages), "raters")
     by_id = W.partitionBy("item").orderBy("other")
     leading = raters.withColumn("at", F.row_number().over(by_id)).where(F.col("at") <= first)
     many = ratings.groupBy("item").agg(F.countDistinct("user").alias("raters")).where(F.col("raters") > first)
-    stored = _both_ways(weights, "u1", "u2").withColumnRenamed("mine", "user")
+    stored = cut(_both_ways(weights, "u1", "u2").withColumnRenamed("mine", "user"), "weights")
     asked = test.join(averages, "user", "left")
     able = asked.where("avg_stars IS NOT NULL").select("user", "item")
     known = able.join(stored, "user").join(raters, ["item", "other"])

@@ -4,10 +4,13 @@ In every tree a record follows, at each node, those of its tokens whose hash for
 records meet because the choice depends on the token, not on the record. Nodes that have become small are compared by
 brute force, with a filter on sizes and on 32 one-byte MinHash values; the pairs of all trees are verified exactly.
 
-Recall. Records of J >= 0.5 share at least half of the larger one's tokens, so with branch 4 they part at a node with
-probability at most e^-2; over three levels a tree finds a pair with probability 0.64 at least, and eight trees miss
-it with less than 0.0003 (one level: 1e-7). Records of at most four tokens follow all of them and aren't missed. The
-MinHash filter asks for 5 of 32 equal bytes and drops a pair of J = 0.5 with probability 1e-5.
+Recall. Records of J >= t share at least t n tokens, n being the larger size, so at a node with a path of L tokens they
+share t n - L more at least, and a token is followed with probability branch t / (t n - L): with branch 4 and t = 0.5 a
+pair parts at a node with probability at most e^-2, at any depth. Over three levels a tree finds a pair with probability
+0.64 at least, and eight trees miss it with less than 0.0003 (one level: 1e-7). Where t n - L is at most branch t, all
+tokens are followed. A pair that shares no token beside the path has J >= t only if t (n1 + n2) <= (1 + t) L; such pairs
+are taken at the node itself, before it is split. The MinHash filter asks for 5 of 32 equal bytes and drops a pair of
+J = 0.5 with probability 1e-5.
 """
 
 from __future__ import annotations
@@ -71,21 +74,42 @@ def _sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node")
 
 
+def used_up_pairs(rows: DataFrame, threshold: float, leaf: int) -> DataFrame:
+    """(a, b) of the records of one node that are similar by the `shared` tokens of its path alone.
+
+    `rows` has node, shared, id and n. Sizes n1 <= n2 with t (n1 + n2) <= (1 + t) shared suffice, so no pair is compared in
+    vain; the smaller records of a node go in blocks of `leaf`.
+    """
+    rows = cut(rows.distinct(), "used")
+    most = F.floor(F.col("shared") * F.lit((1 + threshold) / threshold) - F.col("n") + F.lit(1e-9))
+    small = rows.withColumn("most", most).where("n <= most")
+    left = small.select("node", "shared", F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.sequence("n", "most")).alias("nb"))
+    on = ["node", "shared", "nb"]
+    parts = left.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("parts"))
+    left = left.join(parts, on).withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
+    right = rows.select("node", "shared", F.col("id").alias("b"), F.col("n").alias("nb")).join(parts, on)
+    right = right.select(*on, "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, [*on, "part"]).where("na < nb OR a < b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def chosen_path_pairs(records: DataFrame, edges: DataFrame, threshold: float, trees: int = TREES, branch: float = BRANCH, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Distinct (a, b), a < b, of record ids that meet in a leaf and pass the filters on size and sketch.
 
     `records` has id, n and the sketch, `edges` (id, n, token). A node with more than `leaf` records is split again, with
-    new random choices among the tokens that aren't on its path. Nodes still larger at the last level are compared in
-    blocks of `leaf` records, each block against all: no pair of them is given up.
+    new random choices among the tokens that aren't on its path; pairs that may share none of these are taken before.
+    Nodes still larger at the last level are compared in blocks of `leaf` records, each block against all: no pair of
+    them is given up.
     """
     packed = [f"s{w}" for w in range(SKETCH // 8)]
-    choice = lambda *c: _uniform(*c) < F.lit(branch) / F.col("n")
+    rest = lambda on_path: F.greatest(F.col("n") * F.lit(float(threshold)) - F.lit(float(on_path)), F.lit(1.0))
+    choice = lambda on_path, *c: _uniform(*c) < F.lit(branch * threshold) / rest(on_path)
     nodes = (
         edges.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
-        .where(choice(F.col("token"), F.col("tree")))
-        .select(F.xxhash64("tree", "token").alias("node"), F.array("token").alias("path"), "id")
+        .where(choice(0, F.col("token"), F.col("tree")))
+        .select(F.xxhash64("tree", "token").alias("node"), F.array("token").alias("path"), "id", "n")
     )
-    leaves = []
+    leaves, used = [], []
     for level in range(depth):
         sized = cut(_sized(nodes), f"level{level}")
         last = level == depth - 1
@@ -93,17 +117,23 @@ def chosen_path_pairs(records: DataFrame, edges: DataFrame, threshold: float, tr
         large = sized.where(F.col("size") > leaf)
         if last or large.isEmpty():
             break
+        # Trees and orders that lead to the same tokens have the same pairs of this kind.
+        ending = large.where(F.col("n") * F.lit(float(threshold)) <= F.lit(level + 1 + 1e-9))
+        used.append(ending.select(F.xxhash64(F.array_sort("path")).alias("node"), F.lit(level + 1).alias("shared"), "id", "n"))
         nodes = (
-            large.join(edges, "id")
-            .where(~F.array_contains("path", F.col("token")) & choice(F.col("token"), F.col("node")))
-            .select(F.xxhash64("node", "token").alias("node"), F.array_append("path", F.col("token")).alias("path"), "id")
+            large.drop("n").join(edges, "id")
+            .where(~F.array_contains("path", F.col("token")) & choice(level + 1, F.col("token"), F.col("node")))
+            .select(F.xxhash64("node", "token").alias("node"), F.array_append("path", F.col("token")).alias("path"), "id", "n")
         )
     rows = reduce(DataFrame.unionByName, [x.select("node", "id", "size") for x in leaves]).join(records.select("id", "n", *packed), "id")
     parts = rows.withColumn("parts", F.ceil(F.col("size") / leaf).cast("int"))
     left = parts.select("node", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s[1:]}") for s in packed])
     right = parts.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s[1:]}") for s in packed])
     near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold))) & (_equal_bytes("a", "b") >= LEAST_EQUAL)
-    return left.join(right, ["node", "part"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = left.join(right, ["node", "part"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
+    if used:
+        pairs = pairs.unionByName(used_up_pairs(reduce(DataFrame.unionByName, used), threshold, leaf))
+    return pairs.distinct()
 
 
 def similar_sets(inc: DataFrame, threshold: float = 0.5, least: int = 3, other: DataFrame | None = None, trees: int = TREES, branch: float = BRANCH, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:

@@ -57,6 +57,16 @@ def test_nodes_that_never_split_are_compared_in_blocks(spark):
     assert set(rows(similar_sets.expanded(found, members), "k1", "k2")) == brute_similar(pairs, 0.5)
 
 
+@pytest.mark.parametrize(("shared", "own"), [("ab", 1), ("abc", 1), ("abcd", 1), ("abcd", 2), ("abcdef", 3)])
+def test_pairs_that_share_only_hot_members_are_found(spark, shared, own):
+    """More records than a node may hold at the default leaf and depth, similar by the tokens of the path alone."""
+    pairs = [(f"k{i:03d}", m) for i in range(130) for m in (*shared, *(f"own{i}-{j}" for j in range(own)))]
+    pairs += [("plain", m) for m in (*shared, "x")] + [("wide", m) for m in (*shared, *(f"w{j}" for j in range(len(shared))))]
+    found, members = similar_sets.similar_sets(table(spark, pairs, SCHEMA))
+    got, want = rows(similar_sets.expanded(found, members), "k1", "k2"), brute_similar(pairs, 0.5)
+    assert len(got) == len(set(got)) and len(want) > 130 * 129 / 2 and set(got) == want
+
+
 def test_copies_are_one_class(spark):
     pairs = [(k, m) for k in ("a", "b", "c") for m in "xyz"]
     found, members = similar_sets.similar_sets(table(spark, pairs, SCHEMA))

@@ -28,7 +28,8 @@ def pair_counts(inc: DataFrame, least: int = 5, most_share: float | None = None)
 
     The up to `MOST_HEAVY` largest baskets (above `HEAVY_BASKET` items) emit no pairs: each item carries a bit for each of
     them, and two items' common ones are counted from the bits. A pair with `least` common baskets that shares only
-    heavy ones still shares one that is not among the `least - 1` largest of either item, and is found through that.
+    heavy ones still shares one that is not among the `least - 1` largest of either item, and is found through that. With
+    `least` 1 every pair of a basket comes out in any case, so all baskets emit their pairs.
     """
     edges = cut(inc.select("key", "member").where("key IS NOT NULL AND member IS NOT NULL").distinct(), "edges")
     spark = edges.sparkSession
@@ -39,7 +40,7 @@ def pair_counts(inc: DataFrame, least: int = 5, most_share: float | None = None)
     if most_share is not None:
         able = able.where(F.col("n") <= F.lit(most_share * n_baskets))
     able = cut(able.withColumn("id", F.monotonically_increasing_id()), "able")
-    heavy = [r.member for r in baskets.where(F.col("m") > HEAVY_BASKET).orderBy(F.col("m").desc(), "member").limit(MOST_HEAVY).collect()]
+    heavy = [r.member for r in baskets.where(F.col("m") > HEAVY_BASKET).orderBy(F.col("m").desc(), "member").limit(MOST_HEAVY).collect()] if least > 1 else []
     numbered = edges.join(able.select("key", "id"), "key").select("id", "member")
     words = MOST_HEAVY // 64
     if heavy:
@@ -158,26 +159,26 @@ def surprise(pairs: DataFrame, items: DataFrame, baskets: DataFrame, n_baskets:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            kinds = b[["n1", "n2", "c"]].drop_duplicates()
-            parts = []
-            for at in range(0, len(kinds), 500):
-                part = kinds.iloc[at : at + 500]
-                mean, tail = null.log10_tail(part.n1.to_numpy(), part.n2.to_numpy(), part.c.to_numpy())
-                parts.append(part.assign(expected=mean, thousandths=np.ceil(np.maximum(tail, -1000.0) * 1000).astype(int)))
-            if parts:
-                yield b.merge(pd.concat(parts), on=["n1", "n2", "c"])[["k1", "k2", "c", "n1", "n2", "expected", "thousandths"]]
-
-    key = pairs.schema["k1"].dataType.simpleString()
-    scored = cut(pairs.mapInPandas(score, f"k1 {key}, k2 {key}, c long, n1 long, n2 long, expected double, thousandths long"), "scored")
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                mean, tail = null.log10_tail(part.low.to_numpy(), part.high.to_numpy(), part.c.to_numpy())
+                yield part.assign(expected=mean, thousandths=np.ceil(np.maximum(tail, -1000.0) * 1000).astype(int))
+
+    # The null knows a pair by its frequencies and count only: each kind of pair is scored once.
+    counted = cut(pairs.withColumns({"low": F.least("n1", "n2"), "high": F.greatest("n1", "n2")}), "counted")
+    kind = ["low", "high", "c"]
+    kinds = counted.groupBy(*kind).agg(F.count(F.lit(1)).alias("pairs")).repartition(counted.sparkSession.sparkContext.defaultParallelism)
+    scored = cut(kinds.mapInPandas(score, "low long, high long, c long, pairs long, expected double, thousandths long"), "kinds")
     able = items.where(F.col("n") >= least).count()
     tests = max(able * (able - 1) / 2, 1.0)
-    counts = sorted((int(r[0]), int(r[1])) for r in scored.groupBy("thousandths").count().collect())
+    counts = sorted((int(r[0]), int(r[1])) for r in scored.groupBy("thousandths").agg(F.sum("pairs")).collect())
     ranks = np.cumsum([n for _, n in counts]) if counts else np.zeros(0)
     q = np.array([10.0 ** (t / 1000) for t, _ in counts]) * tests / np.maximum(ranks, 1)
     q = np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1.0)
     table = scored.sparkSession.createDataFrame([(t, float(x)) for (t, _), x in zip(counts, q)], "thousandths long, q double")
     lift = F.col("c") * F.lit(float(n_baskets)) / (F.col("n1") * F.col("n2"))
-    return scored.join(F.broadcast(table), "thousandths").select(
+    judged = cut(scored.join(F.broadcast(table), "thousandths"), "judged")
+    return counted.join(judged, kind).select(
         "k1", "k2", "c", "n1", "n2", lift.alias("lift"), "expected", (F.col("thousandths") / 1000).alias("log10_p"), "q", (F.col("q") <= q_most).alias("surprising")
     )
 

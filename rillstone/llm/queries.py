@@ -84,10 +84,10 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_surprise(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of businesses with at least five common users, with lift, expectation under the null, p and q."""
+    """Every pair of businesses with a common user, with lift, expectation under the null, p and q."""
     inc = _audiences(s, d)
-    pairs, items, n = cooccurrence.pair_counts(inc)
-    found = cooccurrence.surprise(pairs, items, cooccurrence.basket_sizes(inc), n)
+    pairs, items, n = cooccurrence.pair_counts(inc, 1)
+    found = cooccurrence.surprise(pairs, items, cooccurrence.basket_sizes(inc), n, 1)
     return found.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "c", "n1", "n2", *[F.round(c, 6).alias(c) for c in ("lift", "expected", "log10_p", "q")], "surprising")
 
 

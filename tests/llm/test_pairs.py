@@ -118,6 +118,18 @@ def test_pair_counts_equal_brute_force(spark, monkeypatch, heavy, most):
     assert baskets == len({b for _, b in pairs}) and len(rows(items)) == len({i for i, _ in pairs})
 
 
+@pytest.mark.parametrize("heavy", [64, 5, 0])
+def test_pairs_of_a_single_common_basket(spark, monkeypatch, heavy):
+    monkeypatch.setattr(cooccurrence, "HEAVY_BASKET", heavy)
+    rng = random.Random(heavy)
+    pairs = [(f"i{rng.randrange(60)}", f"b{int(rng.paretovariate(0.6)) % 90}") for _ in range(500)] + [(k, f"same{b}") for k in ("x", "y") for b in range(3)]
+    df = table(spark, pairs, SCHEMA)
+    found, items, n = cooccurrence.pair_counts(df, 1)
+    assert set(rows(found, "k1", "k2", "c", "n1", "n2")) == brute_counts(pairs, 1)
+    got = rows(cooccurrence.surprise(found, items, cooccurrence.basket_sizes(df), n, 1), "k1", "k2", "c", "n1", "n2")
+    assert len(got) == len(set(got)) and set(got) == brute_counts(pairs, 1) and ("x", "y", 3, 3, 3) in got
+
+
 def test_counts_of_nothing(spark):
     found, items, baskets = cooccurrence.pair_counts(table(spark, [], SCHEMA))
     assert rows(found) == [] and baskets == 0

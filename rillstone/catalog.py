@@ -87,12 +87,11 @@ def _vector_cosine(s: SparkSession, d: str) -> DataFrame:
     return v.join(w, "vec_id").select("vec_id", F.round(positional_cosine(F.col("embedding"), F.col("other")), 5).alias("sim"))
 
 
-def _merged(s: SparkSession, d: str) -> DataFrame:
-    """Profiles of 20 words, 100 hashes in 20 bands."""
-    items = cut(profiles.top_words(_item_scores(s, d), 20), "items")
-    users = profiles.user_words(_ratings(s, d), items, n=20)
+def _merged(s: SparkSession, d: str, words: int, hashes: int, bands: int) -> DataFrame:
+    items = cut(profiles.top_words(_item_scores(s, d), words), "items")
+    users = profiles.user_words(_ratings(s, d), items, n=words)
     arrays = [cut(profiles.as_arrays(x, k), "profiles") for x, k in ((users, "user"), (items, "item"))]
-    return profiles.merged_pairs(*arrays, lambda inc: cut(setsim.band_keys(setsim.signatures(inc, hashes=100), 20, 5), "buckets"))
+    return profiles.merged_pairs(*arrays, lambda inc: cut(setsim.band_keys(setsim.signatures(inc, hashes=hashes), bands, hashes // bands), "buckets"))
 
 
 def _map_argmax(s: SparkSession, d: str) -> DataFrame:
@@ -164,7 +163,9 @@ QUERIES: dict[str, Query] = {
     "binary_cosine": lambda s, d: _profile_scores(s, d, "cosine"),
     "containment": lambda s, d: _profile_scores(s, d, "containment"),
     "vector_cosine": _vector_cosine,
-    "merged_profile_pairs": _merged,
+    # Profiles cut to 20 words and few bands, as in its SQL; the next one is the whole job.
+    "merged_profile_pairs": lambda s, d: _merged(s, d, 20, 100, 20),
+    "merged_profile_pairs_200": lambda s, d: _merged(s, d, profiles.PROFILE_WORDS, 200, 100),
     "nested_map_argmax": _map_argmax,
     "p6_found": p6_found,
     "p6_user_gap": p6_user_gap,

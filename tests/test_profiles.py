@@ -1,13 +1,17 @@
 import math
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillstone import catalog
 from rillstone.functions.similarity import binary_cosine, containment, positional_cosine
 from rillstone.functions.text import all_terms, content_terms
 from rillstone.operators import profiles, setsim
 
 from .conftest import rows, table
+from .oracle import DATA
 
 
 def terms(spark, text, stop=()):
@@ -92,6 +96,33 @@ def test_merged_pairs_item_wins(spark):
     assert got == [("u", "i", 1.0)]
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_merged_pairs_of_whole_profiles_equal_brute_force(spark):
+    db = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        db.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    items, users = ({k: set(w) for k, w in db.sql(f"WITH {catalog.USERS} SELECT {k}, list(word) FROM {t} GROUP BY 1").fetchall()} for k, t in (("item", "prof"), ("usr", "up")))
+    users = {k: w for k, w in users.items() if k not in items}
+    assert max(map(len, items.values())) == profiles.PROFILE_WORDS
+    numbers = {w: x for x, w in enumerate(sorted(set().union(*items.values(), *users.values())))}
+    i = np.arange(1, 201)[:, None]
+
+    def buckets(words):
+        x = 9679 * np.array([numbers[w] for w in words]) + 23143
+        sig = ((i * (x % 27351 + x % 502687 % 27351) + i * i) % 502687 % 27351).min(1)
+        return {(b, *sig[2 * b : 2 * b + 2].tolist()) for b in range(100)}
+
+    u, v = ({k: buckets(w) for k, w in side.items()} for side in (users, items))
+    want = {(a, b): len(users[a] & items[b]) / math.sqrt(len(users[a]) * len(items[b])) for a in users for b in items if u[a] & v[b]}
+    want = {k: sim for k, sim in want.items() if round(sim, 6) >= 0.01}
+    found = rows(catalog.QUERIES["merged_profile_pairs_200"](spark, str(DATA)), "user", "item", "sim")
+    got = {(a, b): sim for a, b, sim in found}
+    assert len(found) == len(got) and got.keys() == want.keys()
+    assert all(sim == pytest.approx(want[k], abs=1e-6) for k, sim in got.items())
+    short = rows(catalog.QUERIES["merged_profile_pairs"](spark, str(DATA)), "user", "item")
+    assert len(set(want) - set(short)) > len(short)
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_candidates_between_two_sides(spark, block):
     schema = "key string, band int, rows array<long>"

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.functions import minhash
+from rillstone.functions.text import all_terms
 from rillstone.functions.similarity import positional_cosine
 from rillstone.operators import predict, profiles, setsim, skew
 from rillstone.operators import ratings as rate
-from rillstone.plans.cut import cut
+from rillstone.plans import workflows
+from rillstone.plans.cut import cut, new_path
 from rillstone.sources import reviews as src
-from rillstone.sources.sinks import word_index
+from rillstone.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,11 +28,11 @@ def _ratings(s: SparkSession, d: str) -> DataFrame:
 
 
 def _audiences(s: SparkSession, d: str) -> DataFrame:
-    return setsim.incidence(_ratings(s, d), "item", "user")
+    return setsim.incidence(src.reviewed(src.table(s, d, "train_review")), "item", "user")
 
 
 def _baskets(s: SparkSession, d: str) -> DataFrame:
-    return setsim.incidence(_ratings(s, d), "user", "item")
+    return setsim.incidence(src.reviewed(src.table(s, d, "train_review")), "user", "item")
 
 
 def _tf_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -58,10 +60,17 @@ def _averages(s: SparkSession, d: str) -> DataFrame:
     return src.user_averages(src.table(s, d, "user_avg"))
 
 
+def _test_profiles(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(id, words) of the users and of the items of the test pairs. Users' words come from all items, for these users only."""
+    test = cut(_test(s, d), "test")
+    scores = cut(_item_scores(s, d), "items")
+    asked = _ratings(s, d).join(test.select("user").distinct(), "user", "left_semi")
+    users = profiles.as_arrays(profiles.user_words(asked, scores), "user")
+    return cut(users, "users"), cut(profiles.as_arrays(scores.join(test.select("item").distinct(), "item", "left_semi"), "item"), "words")
+
+
 def _profile_scores(s: SparkSession, d: str, kernel: str) -> DataFrame:
-    items = cut(_item_scores(s, d), "items")
-    users = profiles.user_words(_ratings(s, d), items)
-    return profiles.score_pairs(_test(s, d), profiles.as_arrays(users, "user"), profiles.as_arrays(items, "item"), kernel)
+    return profiles.score_pairs(_test(s, d), *_test_profiles(s, d), kernel)
 
 
 def _lsh(s: SparkSession, d: str, parameters: tuple) -> DataFrame:
@@ -87,11 +96,12 @@ def _vector_cosine(s: SparkSession, d: str) -> DataFrame:
     return v.join(w, "vec_id").select("vec_id", F.round(positional_cosine(F.col("embedding"), F.col("other")), 5).alias("sim"))
 
 
-def _merged(s: SparkSession, d: str, words: int, hashes: int, bands: int) -> DataFrame:
-    items = cut(profiles.top_words(_item_scores(s, d), words), "items")
-    users = profiles.user_words(_ratings(s, d), items, n=words)
-    arrays = [cut(profiles.as_arrays(x, k), "profiles") for x, k in ((users, "user"), (items, "item"))]
-    return profiles.merged_pairs(*arrays, lambda inc: cut(setsim.band_keys(setsim.signatures(inc, hashes=hashes), bands, hashes // bands), "buckets"))
+def _merged_signatures(s: SparkSession, d: str) -> DataFrame:
+    """Signatures of the merged profiles of the test users and items, under the parameters of merged search."""
+    family, hashes, _, first = minhash.MERGED
+    merged = profiles.merged_profiles(*_test_profiles(s, d))
+    sigs = setsim.signatures(merged.select(F.col("id").alias("key"), F.explode("words").alias("member")), family, hashes, first)
+    return sigs.select("key", F.posexplode("sig").alias("i", "h")).select("key", (F.col("i") + first).alias("i"), "h")
 
 
 def _map_argmax(s: SparkSession, d: str) -> DataFrame:
@@ -131,7 +141,83 @@ def p6_business_rows(s: SparkSession, d: str) -> DataFrame:
     return skew.balanced_aggregate(raw, "item", partial, {"rows": F.sum("n"), "rated": F.sum("r"), "cents": F.sum("c")})
 
 
+def _files(s: SparkSession, d: str) -> dict[str, str]:
+    """The tables as the files the workflows start from, and paths for what they write."""
+    at = {k: new_path(s, k) for k in ("reviews", "test", "stop", "averages", "model", "out")}
+    src.table(s, d, "train_review").drop("loaded_at").write.json(at["reviews"])
+    sinks.write_ndjson(src.table(s, d, "test_review"), at["test"], ("user_id", "business_id"))
+    src.table(s, d, "stopword").select(F.coalesce("word", F.lit("")).alias("value")).write.text(at["stop"])
+    sinks.write_averages(_averages(s, d), at["averages"])
+    return at
+
+
+def _ndjson(s: SparkSession, d: str, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    path = new_path(s, "reviews")
+    src.table(s, d, "train_review").drop("loaded_at").write.json(path)
+    return read(s, path)
+
+
+def _tokens(s: SparkSession, d: str) -> DataFrame:
+    """The terms of every review, with their place in the text."""
+    texts = src.distinct_reviews(src.table(s, d, "train_review"), "text")
+    return texts.select("review_id", F.posexplode(all_terms("text")).alias("at", "word"))
+
+
+def _averages_file(s: SparkSession, d: str) -> DataFrame:
+    path = new_path(s, "averages")
+    sinks.write_averages(_averages(s, d), path)
+    return src.read_averages(s, path)
+
+
+def _pairs_file(s: SparkSession, d: str) -> DataFrame:
+    at = _files(s, d)
+    workflows.similar_items(s, at["reviews"], at["out"])
+    return workflows.read_result(s, at["out"], sinks.ITEM_PAIRS)
+
+
+def _model_file(s: SparkSession, d: str) -> DataFrame:
+    """Every (kind, id, word) of the trained model of lines, and its word index."""
+    at = _files(s, d)
+    workflows.train_profiles(s, at["reviews"], at["stop"], at["model"])
+    words = sinks.read_model_lines(s, at["model"]).select("kind", "id", F.explode("words").alias("word"))
+    index = sinks.read_model_index(s, at["model"]).select(F.lit("word_index").alias("kind"), F.col("index").cast("string").alias("id"), "word")
+    return words.unionByName(index)
+
+
+def _model_tables(s: SparkSession, d: str) -> DataFrame:
+    """Item profiles through a model of Parquet tables and through one JSON object per profile."""
+    tables, lines = new_path(s, "model"), new_path(s, "model")
+    prof = profiles.as_arrays(_item_scores(s, d), "item")
+    sinks.write_model({"bprofile": prof}, tables)
+    sinks.write_model_ndjson(sinks.read_model(s, tables, "bprofile")["bprofile"].withColumn("kind", F.lit("bprofile")), lines)
+    return sinks.read_model_ndjson(s, lines).select("kind", "id", F.explode("words").alias("word"))
+
+
+def _scores_file(s: SparkSession, d: str) -> DataFrame:
+    at = _files(s, d)
+    workflows.train_profiles(s, at["reviews"], at["stop"], at["model"])
+    workflows.score_profiles(s, at["test"], at["model"], at["out"])
+    return workflows.read_result(s, at["out"], sinks.SCORES)
+
+
+def _predictions_file(s: SparkSession, d: str, of: str) -> DataFrame:
+    at = _files(s, d)
+    workflows.train_weights(s, at["reviews"], at["model"], of)
+    workflows.predict_ratings(s, at["reviews"], at["test"], at["model"], at["out"], of, at["averages"])
+    return workflows.read_result(s, at["out"], sinks.PREDICTIONS)
+
+
 QUERIES: dict[str, Query] = {
+    "ndjson_reviews": lambda s, d: _ndjson(s, d, src.read_ndjson),
+    "ndjson_reviews_as_text": lambda s, d: _ndjson(s, d, src.read_ndjson_as_text),
+    "averages_file": _averages_file,
+    "similar_items_file": _pairs_file,
+    "model_file": _model_file,
+    "model_tables": _model_tables,
+    "profile_scores_file": _scores_file,
+    "item_predictions_file": lambda s, d: _predictions_file(s, d, "item"),
+    "user_predictions_file": lambda s, d: _predictions_file(s, d, "user"),
+    "tokens": _tokens,
     "item_audience_size": lambda s, d: setsim.set_sizes(_audiences(s, d)),
     "exact_jaccard_items": lambda s, d: setsim.exact_pairs(_audiences(s, d)),
     "exact_jaccard_users": lambda s, d: setsim.exact_pairs(_baskets(s, d)),
@@ -155,7 +241,7 @@ QUERIES: dict[str, Query] = {
     "term_freq": lambda s, d: _tf_parts(s, d)[0],
     "doc_freq": lambda s, d: _tf_parts(s, d)[2],
     "rare_word_filter": lambda s, d: profiles.frequent_words((p := _tf_parts(s, d))[2], p[1]),
-    "word_index": lambda s, d: word_index(_tf_parts(s, d)[2]),
+    "word_index": lambda s, d: sinks.word_index(_tf_parts(s, d)[2]),
     "tfidf_top200": lambda s, d: _item_scores(s, d).withColumn("score", F.round("score", 6)),
     "tfidf_smoothed": lambda s, d: profiles.tfidf_smoothed(*_tf_parts(s, d)).withColumn("score", F.round("score", 6)),
     "user_profiles_intended": lambda s, d: _user_words(s, d, "intended"),
@@ -163,9 +249,8 @@ QUERIES: dict[str, Query] = {
     "binary_cosine": lambda s, d: _profile_scores(s, d, "cosine"),
     "containment": lambda s, d: _profile_scores(s, d, "containment"),
     "vector_cosine": _vector_cosine,
-    # Profiles cut to 20 words and few bands, as in its SQL; the next one is the whole job.
-    "merged_profile_pairs": lambda s, d: _merged(s, d, 20, 100, 20),
-    "merged_profile_pairs_200": lambda s, d: _merged(s, d, profiles.PROFILE_WORDS, 200, 100),
+    "merged_profile_pairs": lambda s, d: profiles.merged_pairs(*_test_profiles(s, d)),
+    "merged_profile_signatures": _merged_signatures,
     "nested_map_argmax": _map_argmax,
     "p6_found": p6_found,
     "p6_user_gap": p6_user_gap,
@@ -195,6 +280,9 @@ up AS (SELECT usr, word FROM uw QUALIFY row_number() OVER (PARTITION BY usr ORDE
 TEST = """test AS (SELECT row_number() OVER () AS tid, nullif(trim(user_id), '') AS usr, nullif(trim(business_id), '') AS item FROM test_review
   WHERE nullif(trim(user_id), '') IS NOT NULL AND nullif(trim(business_id), '') IS NOT NULL),
 av AS (SELECT nullif(trim(user_id), '') AS usr, avg_stars FROM user_avg WHERE nullif(trim(user_id), '') IS NOT NULL AND avg_stars IS NOT NULL)"""
+# Every pair of merged profiles is looked at here, without buckets.
+MERGED = """ti AS (SELECT item, word FROM prof WHERE item IN (SELECT item FROM test)), tu AS (SELECT usr, word FROM up WHERE usr IN (SELECT usr FROM test)),
+inc AS (SELECT item AS key, word AS member, true AS is_item FROM ti UNION ALL SELECT usr, word, false FROM tu WHERE usr NOT IN (SELECT item FROM ti))"""
 CELLS = """cells AS (SELECT usr, item, avg(stars) AS r FROM rat WHERE stars IS NOT NULL GROUP BY 1, 2)"""
 
 
@@ -277,18 +365,15 @@ rep AS (SELECT usr, word FROM uw, LATERAL (SELECT unnest(range(uw.times))) AS t(
 top AS (SELECT * FROM rep QUALIFY row_number() OVER (PARTITION BY usr ORDER BY substring(word, 2, 1) DESC, word) <= 200) SELECT DISTINCT usr AS "user", word FROM top""",
     "binary_cosine": f"WITH {USERS}, {TEST}" + _KERNEL_SQL.format("len(list_intersect(uw, iw)) / (sqrt(len(uw)) * sqrt(len(iw)))"),
     "containment": f"WITH {USERS}, {TEST}" + _KERNEL_SQL.format("len(list_intersect(uw, iw)) / len(uw)::DOUBLE"),
-    "merged_profile_pairs": f"""WITH {SCORES}, ip AS (SELECT * FROM prof QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, word) <= 20),
-uw AS (SELECT usr, word, round(sum(score), 6) AS score FROM rat JOIN ip USING (item) GROUP BY 1, 2),
-up AS (SELECT usr, word FROM uw QUALIFY row_number() OVER (PARTITION BY usr ORDER BY score DESC, word) <= 20),
-inc AS (SELECT item AS key, word AS member, true AS is_item FROM ip UNION ALL SELECT usr, word, false FROM up WHERE usr NOT IN (SELECT item FROM ip)),
-ids AS (SELECT member, row_number() OVER (ORDER BY member) - 1 AS x FROM (SELECT DISTINCT member FROM inc)),
-base AS (SELECT key, is_item, (9679 * x + 23143) % 27351 + (9679 * x + 23143) % 502687 % 27351 AS t FROM inc JOIN ids USING (member)),
-sig AS (SELECT key, is_item, i, min((i * t + i * i) % 502687 % 27351) AS h FROM base, (SELECT unnest(range(1, 101)) AS i) GROUP BY 1, 2, 3),
-ban AS (SELECT key, is_item, (i - 1) // 5 AS band, list(h ORDER BY i) AS slice FROM sig GROUP BY 1, 2, 3),
-cand AS (SELECT DISTINCT x.key AS usr, y.key AS item FROM ban x JOIN ban y USING (band, slice) WHERE y.is_item AND NOT x.is_item),
-arr AS (SELECT key, list(member) AS w FROM inc GROUP BY 1),
-s AS (SELECT usr, item, round(len(list_intersect(p.w, q.w)) / (sqrt(len(p.w)) * sqrt(len(q.w))), 6) AS sim FROM cand JOIN arr p ON p.key = usr JOIN arr q ON q.key = item)
+    "merged_profile_pairs": f"""WITH {USERS}, {TEST}, {MERGED},
+com AS (SELECT x.key AS usr, y.key AS item, count(*) AS c FROM inc x JOIN inc y USING (member) WHERE y.is_item AND NOT x.is_item GROUP BY 1, 2),
+siz AS (SELECT key, count(*)::DOUBLE AS n FROM inc GROUP BY 1),
+s AS (SELECT usr, item, round(c / (sqrt(p.n) * sqrt(q.n)), 6) AS sim FROM com JOIN siz p ON p.key = usr JOIN siz q ON q.key = item)
 SELECT usr AS "user", item, sim FROM s WHERE sim >= 0.01::DOUBLE""",
+    "merged_profile_signatures": f"""WITH {USERS}, {TEST}, {MERGED},
+ids AS (SELECT member, row_number() OVER (ORDER BY member) - 1 AS x FROM (SELECT DISTINCT member FROM inc)),
+base AS (SELECT key, (9679 * x + 23143) % 27351 + (9679 * x + 23143) % 502687 % 27351 AS t FROM inc JOIN ids USING (member))
+SELECT key, i, min((i * t + i * i) % 502687 % 27351) AS h FROM base, (SELECT unnest(range(1, 201)) AS i) GROUP BY 1, 2""",
     "vector_cosine": """SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) /
   (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5) AS sim
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
@@ -303,3 +388,18 @@ FROM r LEFT JOIN a USING (u) WHERE u IS NOT NULL GROUP BY 1""",
     "p6_business_rows": """SELECT nullif(trim(business_id), '') AS item, count(*) AS rows, count(stars) AS rated, CAST(sum(CAST(round(stars * 100) AS BIGINT)) AS BIGINT) AS cents
 FROM train_review WHERE nullif(trim(business_id), '') IS NOT NULL GROUP BY 1""",
 }
+
+_REVIEW_ROWS = "SELECT review_id, user_id, business_id, stars, text, date FROM train_review"
+SQL |= {
+    "ndjson_reviews": _REVIEW_ROWS,
+    "ndjson_reviews_as_text": _REVIEW_ROWS,
+    "averages_file": f'WITH {TEST} SELECT usr AS "user", avg_stars FROM av',
+    "similar_items_file": SQL["lsh_similar_items"].replace("SELECT k1, k2, sim", "SELECT k1 AS b1, k2 AS b2, sim"),
+    "model_file": f"""WITH {USERS} SELECT 'bprofile' AS kind, item AS id, word FROM prof UNION ALL SELECT 'uprofile', usr, word FROM up
+UNION ALL SELECT DISTINCT 'ureviews', usr, item FROM rat UNION ALL SELECT 'word_index', CAST(row_number() OVER (ORDER BY word) AS VARCHAR), word FROM dfs""",
+    "model_tables": f"WITH {SCORES} SELECT 'bprofile' AS kind, item AS id, word FROM prof",
+    "profile_scores_file": f"SELECT \"user\" AS user_id, item AS business_id, sim FROM ({SQL['binary_cosine']})",
+    "item_predictions_file": f"SELECT \"user\" AS user_id, item AS business_id, stars FROM ({SQL['predict_item_based']})",
+    "user_predictions_file": f"SELECT \"user\" AS user_id, item AS business_id, stars FROM ({SQL['predict_user_based_intended']})",
+    "tokens": f"WITH {REVIEWS}, t AS (SELECT rid, {TERMS} AS words FROM rev) SELECT rid AS review_id, CAST(unnest(range(len(words))) AS INTEGER) AS at, unnest(words) AS word FROM t",
+}

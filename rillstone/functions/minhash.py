@@ -28,12 +28,17 @@ class HashFamily:
     def value(self, base: Column, i: Column) -> Column:
         return (i * base + i * i) % self.p % self.m
 
+    def least(self, base: str, i: int) -> Column:
+        """The smallest value of hash `i` over a group, from the column named `base`; one expression, as there are many."""
+        return F.expr(f"min(({i}L * {base} + {i * i}L) % {self.p} % {self.m})")
+
 
 # The parameter sets in use, as (family, hashes, bands, first index).
 SUBMITTED = (HashFamily(), 50, 50, 1)
 SHORT_PRIME = (HashFamily(p=23197), 25, 25, 0)
 BUCKETS = (HashFamily(), 12, 12, 0)
 TWO_ROWS = (HashFamily(m=28000, a=677), 100, 50, 1)
+MERGED = (HashFamily(), 200, 100, 1)
 
 
 def signature(members: Column, family: HashFamily, hashes: int, first: int = 1) -> Column:
@@ -53,9 +58,13 @@ def bands(sig: Column, count: int, rows: int) -> Column:
     )
 
 
-def plan_bands(least_similarity: float, hashes: int) -> int | None:
-    """The largest number of bands whose threshold (1/b)^(1/r) reaches `least_similarity`; None if there is none."""
-    for b in range(hashes, 1, -1):
-        if hashes % b == 0 and (1 / b) ** (b / hashes) >= least_similarity:
-            return b
-    return None
+def bands_for(similarity: float, recall: float, hashes: int) -> int:
+    """The fewest bands (the longest slices) of `hashes` hashes by which a pair of this similarity meets with chance `recall`.
+
+    A pair of Jaccard s agrees in a slice of r hashes with chance s^r and meets in one of b bands with 1 - (1 - s^r)^b.
+    Shorter slices only add candidates. If even single hashes are too few, there is no such number.
+    """
+    for rows in range(hashes, 0, -1):
+        if hashes % rows == 0 and 1 - (1 - similarity**rows) ** (hashes // rows) >= recall:
+            return hashes // rows
+    raise ValueError(f"{hashes} hashes can't reach a recall of {recall} at similarity {similarity}")

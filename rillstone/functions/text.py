@@ -8,32 +8,40 @@ from pyspark.sql import functions as F
 # The characters that separate terms, and the white space of Unicode's White_Space property.
 DIGITS = "0123456789"
 SEPARATORS = "',.()\\/_-!:;#@%^&*{}[]+=~?\"№"
-WHITE_SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LEAST_LETTERS = 3
 
-_NOT_A_TERM = "[" + WHITE_SPACE + "".join("\\" + c if ord(c) < 128 else c for c in SEPARATORS) + "]+"
-
 
 def blank_to_null(column: Column | str) -> Column:
     """Trims blanks; an empty id is no id."""
     return F.nullif(F.trim(F.col(column) if isinstance(column, str) else column), F.lit(""))
 
 
+def pieces(text: Column | str) -> Column:
+    """What is left of a text between separators and white space, in lower case and without digits; some pieces are empty.
+
+    One pass over the characters; the split is at single blanks. A null text gives null.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    blanks = SEPARATORS + WHITE_SPACE
+    return F.split(F.lower(F.translate(text, blanks + DIGITS, " " * len(blanks))), " ")
+
+
+def is_term(word: Column | str, stopwords: list[str] | None = None) -> Column:
+    """Whether a piece has three letters or more and is no stop word."""
+    word = F.col(word) if isinstance(word, str) else word
+    long_enough = F.char_length(word) >= LEAST_LETTERS
+    return long_enough & ~word.isin(sorted(set(stopwords))) if stopwords else long_enough
+
+
 def all_terms(text: Column | str) -> Column:
     """Terms with repeats: digits deleted, lower case, split at separators and white space, three letters or more.
 
     A null text has no terms, as an empty one.
     """
-    text = F.col(text) if isinstance(text, str) else text
-    low = F.lower(F.regexp_replace(text, "[0-9]", ""))
-    words = F.filter(F.split(low, _NOT_A_TERM), lambda w: F.char_length(w) >= LEAST_LETTERS)
-    return F.coalesce(words, F.array().cast("array<string>"))
+    return content_terms(text, [])
 
 
 def content_terms(text: Column | str, stopwords: list[str]) -> Column:
-    """`all_terms` without the stop words."""
-    words = all_terms(text)
-    if not stopwords:
-        return words
-    stop = sorted(set(stopwords))
-    return F.filter(words, lambda w: ~w.isin(stop))
+    """`all_terms` without the stop words. Where terms become rows anyway, filter `pieces` by `is_term` after exploding."""
+    return F.coalesce(F.filter(pieces(text), lambda w: is_term(w, stopwords)), F.array().cast("array<string>"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillstone.plans.cut import cut
+from rillstone.plans.spread import ROWS, hot_groups, spread_join
 
 FIRST = 64
 
@@ -30,11 +31,15 @@ def _places(ranked_by: W, n: int, zero_places: Column) -> Column:
     return F.least(F.col("reviews"), F.greatest(F.lit(n) - before, F.lit(0)))
 
 
-def _both_ways(weights: DataFrame, a: str, b: str) -> DataFrame:
-    """(mine, other, w) in both directions, one row each; where both are stored they agree."""
-    once = weights.groupBy(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.max("sim").alias("w"))
-    two = F.array(F.struct(F.col("lo").alias("mine"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("mine"), F.col("lo").alias("other")))
-    return once.select(F.explode(two).alias("p"), "w").select("p.mine", "p.other", "w")
+def _directed(weights: DataFrame, a: str, b: str, asked: DataFrame) -> DataFrame:
+    """(mine, other, w) in both directions, one row each, where `mine` is among the one column of `asked`.
+
+    Where both directions are stored they agree.
+    """
+    two = F.array(F.struct(F.col(a).alias("mine"), F.col(b).alias("other")), F.struct(F.col(b).alias("mine"), F.col(a).alias("other")))
+    both = weights.select(F.explode(two).alias("p"), F.col("sim").alias("w")).select("p.mine", "p.other", "w")
+    needed = both.join(asked.toDF("mine").distinct(), "mine", "left_semi")
+    return needed.groupBy("mine", "other").agg(F.max("w").alias("w"))
 
 
 def predict_item_based(ratings: DataFrame, weights: DataFrame, test: DataFrame, n: int = 2) -> DataFrame:
@@ -46,7 +51,7 @@ def predict_item_based(ratings: DataFrame, weights: DataFrame, test: DataFrame,
     rated = ratings.where("stars IS NOT NULL")
     reviewed = rated.groupBy("user", F.col("item").alias("other")).agg(F.count(F.lit(1)).alias("reviews"), F.avg("stars").alias("r"))
     totals = rated.groupBy("user").agg(F.count(F.lit(1)).alias("all_reviews"))
-    stored = _both_ways(weights, "b1", "b2").where("w <> 0").withColumnRenamed("mine", "item")
+    stored = _directed(weights, "b1", "b2", test.select("item")).where("w <> 0").withColumnRenamed("mine", "item")
     near = test.join(stored, "item").join(reviewed, ["user", "other"]).join(totals, "user")
     pair = W.partitionBy("user", "item")
     zeros = F.col("all_reviews") - F.sum("reviews").over(pair)
@@ -94,15 +99,18 @@ def predict_user_based(ratings: DataFrame, weights: DataFrame, averages: DataFra
 
     A pair meets the raters the user has a stored weight with, and the `first` raters of the item by id, who fill places
     of weight 0. Where the item has more raters, but fewer than n of those first ones have weight 0 for the user, the pair
-    meets all raters instead; such pairs are few, as the user needs stored weights with nearly all of the first ones.
+    meets all raters instead; such pairs are few, as the user needs stored weights with nearly all of the first ones. Only
+    the raters of the items asked for and the weights of the users asked for are read, and a hot item's raters are joined in
+    parts.
     """
-    raters = cut(_raters(ratings, averages), "raters")
+    asked = cut(test.join(averages, "user", "left"), "asked")
+    able = asked.where("avg_stars IS NOT NULL").select("user", "item")
+    raters = cut(_raters(ratings.join(able.select("item").distinct(), "item", "left_semi"), averages), "raters")
     by_id = W.partitionBy("item").orderBy("other")
     leading = raters.withColumn("at", F.row_number().over(by_id)).where(F.col("at") <= first)
-    many = ratings.groupBy("item").agg(F.countDistinct("user").alias("raters")).where(F.col("raters") > first)
-    stored = cut(_both_ways(weights, "u1", "u2").withColumnRenamed("mine", "user"), "weights")
-    asked = test.join(averages, "user", "left")
-    able = asked.where("avg_stars IS NOT NULL").select("user", "item")
+    sizes = cut(raters.groupBy("item").agg(F.count(F.lit(1)).alias("raters")), "sizes")
+    many = sizes.where(F.col("raters") > first).select("item")
+    stored = cut(_directed(weights, "u1", "u2", able.select("user")).withColumnRenamed("mine", "user"), "weights")
     known = able.join(stored, "user").join(raters, ["item", "other"])
     filling = able.join(leading.drop("at"), "item").join(stored, ["user", "other"], "left")
     unstored = filling.where("w IS NULL").withColumn("w", F.lit(0.0))
@@ -113,7 +121,9 @@ def predict_user_based(ratings: DataFrame, weights: DataFrame, averages: DataFra
         .where(F.coalesce("zeros", F.lit(0)) < n)
         .select("user", "item")
     )
-    rest = short.join(raters, "item").join(stored, ["user", "other"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    hot = hot_groups(sizes, ["item"], "raters", ROWS, raters.count())
+    met = spread_join(raters, short, ["item"], hot, "other")
+    rest = met.join(stored, ["user", "other"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     parts = _user_parts(near.join(short, ["user", "item"], "left_anti"), n).unionByName(_user_parts(rest, n))
     full = asked.join(parts, ["user", "item"], "left")
     stars = (

@@ -6,30 +6,35 @@ have no words, but their item counts as a document.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillstone.functions.similarity import binary_cosine, containment
-from rillstone.functions.text import all_terms, content_terms
-from rillstone.operators.setsim import candidates_between
+from rillstone.functions.text import is_term, pieces
+from rillstone.plans.cut import cut
+from rillstone.plans.spread import hot_groups, spread_join
 
 RARE = 0.0001
 PROFILE_WORDS = 200
 MOST_BROADCAST = 100_000
+REVIEWS_PER_TASK = 10_000
+PROFILE_BLOCK = 1_000
+MOST_ENTRIES = 5_000_000
 
 
 def tokens(docs: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
-    """(item, words): per row of `docs`, terms with repeats, in text order."""
-    words = content_terms("text", stopwords) if stopwords else all_terms("text")
-    return docs.where("item IS NOT NULL").select("item", words.alias("words"))
+    """The rows of `docs` without `text`, once for each term of the text with the term as `word`; terms keep their repeats."""
+    named = docs.where("item IS NOT NULL")
+    return named.withColumn("word", F.explode(pieces("text"))).drop("text").where(is_term("word", stopwords))
 
 
 def term_freq(toks: DataFrame) -> DataFrame:
     """(item, word, tf): occurrences; counts are combined before the shuffle."""
-    return toks.select("item", F.explode("words").alias("word")).groupBy("item", "word").agg(F.count(F.lit(1)).alias("tf"))
+    return toks.groupBy("item", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_word_counts(tf: DataFrame, docs: DataFrame) -> DataFrame:
@@ -82,16 +87,19 @@ def user_words(reviews: DataFrame, profile: DataFrame, mode: str = "intended", n
     """(user, word) from the profiles of the items a user reviewed; an item counts once for each review.
 
     Mode 'intended' ranks words by the sum of their scores. Mode 'compat' ranks the words with their repeats by their second
-    character, ties by the smaller word, and keeps the distinct ones among the first n.
+    character, ties by the smaller word, and keeps the distinct ones among the first n. The reviewers of a hot item meet its
+    profile in parts.
     """
-    reviewed = reviews.where("user IS NOT NULL").groupBy("user", "item").agg(F.count(F.lit(1)).alias("times"))
-    words = reviewed.join(profile, "item").groupBy("user", "word")
+    if mode not in ("intended", "compat"):
+        raise ValueError("mode must be 'intended' or 'compat'")
+    reviewed = cut(reviews.where("user IS NOT NULL").groupBy("user", "item").agg(F.count(F.lit(1)).alias("times")), "reviewed")
+    sizes = reviewed.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    met = spread_join(reviewed, profile, ["item"], hot_groups(sizes, ["item"], "n", REVIEWS_PER_TASK, reviewed.count()), "user")
+    words = met.groupBy("user", "word")
     if mode == "intended":
         summed = words.agg(F.round(F.sum(F.col("score") * F.col("times")), 6).alias("score"))
         order = W.partitionBy("user").orderBy(F.col("score").desc(), "word")
         return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("user", "word")
-    if mode != "compat":
-        raise ValueError("mode must be 'intended' or 'compat'")
     counted = words.agg(F.sum("times").alias("times"))
     order = W.partitionBy("user").orderBy(F.substring("word", 2, 1).desc(), "word")
     ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
@@ -114,22 +122,73 @@ def score_pairs(test: DataFrame, users: DataFrame, items: DataFrame, kernel: str
     return scored.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("user", "item", "sim")
 
 
-def merged_pairs(users: DataFrame, items: DataFrame, buckets: Callable[[DataFrame], DataFrame], least: float = 0.01) -> DataFrame:
-    """(user, item, sim) of similar user and item profiles without test pairs, by the binary cosine.
+def merged_profiles(users: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, words, is_item) of both kinds of profiles; an item's wins over a user's of the same id."""
+    both = users.select("id", "words", F.lit(False).alias("is_item")).unionByName(items.select("id", "words", F.lit(True).alias("is_item")))
+    return both.groupBy("id").agg(F.max_by("words", "is_item").alias("words"), F.max("is_item").alias("is_item"))
+
+
+def merged_pairs(users: DataFrame, items: DataFrame, least: float = 0.01, block: int = PROFILE_BLOCK) -> DataFrame:
+    """(user, item, sim) of all pairs of a user's and an item's profile with a binary cosine >= `least` > 0.
 
-    Profiles of both kinds are merged, an item's winning over a user's of the same id; `buckets` gives the LSH buckets
-    (key, band, rows) of the merged (key, member) rows. Users are compared with items of a shared bucket only.
+    `users` and `items` have (id, words) with distinct words; a user who is also an item takes no part. Both are the sets a
+    caller asks about, and most pairs of them share words, so the result itself grows with their product. Users go in
+    blocks of about `block` against blocks of items; a task holds one block of each and counts common words through the
+    block's word lists. No pair is lost.
     """
-    users = users.join(items.select("id"), "id", "left_anti")
-    merged = users.unionByName(items)
-    found = buckets(merged.select(F.col("id").alias("key"), F.explode("words").alias("member")))
-    of_items = found.join(items.select(F.col("id").alias("key")), "key", "left_semi")
-    of_users = found.join(users.select(F.col("id").alias("key")), "key", "left_semi")
-    pairs = candidates_between(of_users, of_items).select(F.col("k1").alias("user"), F.col("k2").alias("item"))
-    one = users.select(F.col("id").alias("user"), F.col("words").alias("uw"))
-    two = items.select(F.col("id").alias("item"), F.col("words").alias("iw"))
-    both = pairs.join(one, "user").join(two, "item")
-    return both.withColumn("sim", F.round(binary_cosine(F.col("uw"), F.col("iw")), 6)).where(F.col("sim") >= F.lit(float(least))).select("user", "item", "sim")
+    merged = cut(merged_profiles(users, items).where("id IS NOT NULL AND size(words) > 0"), "merged")
+    counts = dict(merged.groupBy("is_item").agg(F.count(F.lit(1))).collect())
+    parts = {side: max(1, -(-counts.get(side, 0) // block)) for side in (True, False)}
+    sides = []
+    for side, name in ((False, "__user"), (True, "__item")):
+        other = "__item" if name == "__user" else "__user"
+        at = F.pmod(F.xxhash64("id"), F.lit(parts[side])).cast("int")
+        placed = merged.where(F.col("is_item") == side).select("id", "words", at.alias(name))
+        sides.append(placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(parts[not side] - 1)))).groupBy("__user", "__item"))
+
+    def score(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = _block_cosines(one, two, least)
+        return pa.table(found, names=["user", "item", "sim"])
+
+    pairs = sides[0].cogroup(sides[1]).applyInArrow(score, "user string, item string, sim double")
+    return pairs.withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= F.lit(float(least)))
+
+
+def _block_cosines(users: pa.Table, items: pa.Table, least: float) -> list[pa.Array]:
+    """Users, items and cosines of the pairs of two blocks that may reach `least`, up to rounding."""
+    ids = [pa.concat_arrays(t.column("id").cast(pa.string()).chunks or [pa.array([], pa.string())]) for t in (users, items)]
+    lists = [pa.concat_arrays(t.column("words").chunks or [pa.array([], pa.list_(pa.string()))]) for t in (users, items)]
+    sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    flat = [pc.list_flatten(x) for x in lists]
+    codes = pa.concat_arrays([x.cast(pa.string()) for x in flat]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    mine, theirs = codes[: len(flat[0])], codes[len(flat[0]) :]
+    holder = np.repeat(np.arange(len(ids[1])), sizes[1])[np.argsort(theirs, kind="stable")]
+    vocabulary = int(codes.max(initial=-1)) + 1
+    ends = np.cumsum(np.bincount(theirs, minlength=vocabulary))
+    length = np.bincount(theirs, minlength=vocabulary)
+    owner = np.repeat(np.arange(len(ids[0])), sizes[0])
+    work = np.cumsum(np.bincount(owner, length[mine], minlength=len(ids[0])))
+    width = max(len(ids[1]), 1)
+    out = [[], [], []]
+    at = 0
+    while at < len(ids[0]):
+        # As many users at once as have `MOST_ENTRIES` entries in the word lists, and cells in the table of counts.
+        done = work[at - 1] if at else 0
+        to = min(max(int(np.searchsorted(work, done + MOST_ENTRIES, "right")), at + 1), at + max(1, MOST_ENTRIES // width))
+        own = (owner >= at) & (owner < to)
+        n = length[mine[own]]
+        start = np.repeat(ends[mine[own]] - n - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        cell = np.repeat(owner[own] - at, n) * width + holder[start]
+        c = np.bincount(cell, minlength=(to - at) * width)
+        hit = np.flatnonzero(c)
+        u, i = hit // width + at, hit % width
+        sim = c[hit] / (np.sqrt(sizes[0][u].astype(float)) * np.sqrt(sizes[1][i].astype(float)))
+        keep = sim >= least - 1e-6
+        for o, v in zip(out, (u[keep], i[keep], sim[keep])):
+            o.append(v)
+        at = to
+    u, i, sim = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+    return [ids[0].take(pa.array(u, pa.int64())), ids[1].take(pa.array(i, pa.int64())), pa.array(sim.astype(float))]
 
 
 def map_argmax(df: DataFrame, column: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.functions.similarity import jaccard, pearson_of_sums
-from rillstone.operators.setsim import BLOCK
+from rillstone.operators import setsim
+from rillstone.plans.cut import cut
 
 
 def rating_means(ratings: DataFrame) -> DataFrame:
@@ -21,35 +22,20 @@ def rating_means(ratings: DataFrame) -> DataFrame:
 def pearson_pairs(ratings: DataFrame, of: str, least_common: int = 3, least_jaccard: float = 0.0) -> DataFrame:
     """(k1, k2, c, jac, sim), k1 < k2: Pearson over the shared members of two entities (`of` = 'item' or 'user').
 
-    Entities need `least_common` members, pairs as many common ones. Means are taken over the shared members only. The
-    members are joined by value; a member with more than a block of entities is split as in `setsim.common_members`.
+    Entities need `least_common` members, pairs as many common ones. Means are taken over the shared members only. Pairs
+    are found as in `setsim.common_members`, without the most frequent members of each entity, and only those whose sizes
+    allow `least_jaccard`; sums are taken of these pairs.
     """
     key, member = (of, {"item": "user", "user": "item"}[of])
-    cells = rating_means(ratings).select(F.col(key).alias("key"), F.col(member).alias("member"), "r")
-    sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_common)
-    cells = cells.join(sizes, "key")
-    groups = cells.groupBy("member").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    parts = cells.join(groups, "member").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    left = parts.select("member", F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("r").alias("r1"), F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"))
-    right = parts.select("member", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    sums = (
-        left.join(right, ["member", "part"])
-        .where("k1 < k2")
-        .groupBy("k1", "k2", "n1", "n2")
-        .agg(
-            F.count(F.lit(1)).alias("c"),
-            F.sum("r1").alias("sa"),
-            F.sum("r2").alias("sb"),
-            F.sum(F.col("r1") * F.col("r1")).alias("saa"),
-            F.sum(F.col("r2") * F.col("r2")).alias("sbb"),
-            F.sum(F.col("r1") * F.col("r2")).alias("sab"),
-        )
-        .where(F.col("c") >= least_common)
-        .withColumn("jac", jaccard(F.col("c"), F.col("n1"), F.col("n2")))
-        .where(F.col("jac") >= F.lit(float(least_jaccard)))
-    )
-    sim = pearson_of_sums(*[F.col(x) for x in ("c", "sa", "sb", "saa", "sbb", "sab")])
-    return sums.select("k1", "k2", "c", "jac", (F.round(sim, 6) + F.lit(0.0)).alias("sim"))
+    cells = cut(rating_means(ratings).where("user IS NOT NULL AND item IS NOT NULL").select(F.col(key).alias("key"), F.col(member).alias("member"), "r"), "cells")
+    rows, keys = setsim.coded(cells, least_common)
+    pairs = setsim.sharing(rows, least_common, setsim.may_reach(least_jaccard))
+    x, y = F.col("x"), F.col("y")
+    sums = {"sa": x, "sb": y, "saa": x * x, "sbb": y * y, "sab": x * y}
+    found = setsim.count_pairs(pairs, rows, *[F.sum(v).alias(k) for k, v in sums.items()]).where(F.col("c") >= least_common)
+    near = found.withColumn("jac", jaccard(F.col("c"), F.col("n1"), F.col("n2"))).where(F.col("jac") >= F.lit(float(least_jaccard)))
+    sim = pearson_of_sums(*[F.col(c) for c in ("c", *sums)])
+    return setsim.named(near.withColumn("sim", F.round(sim, 6) + F.lit(0.0)), keys, "c", "jac", "sim")
 
 
 def item_weights(ratings: DataFrame) -> DataFrame:

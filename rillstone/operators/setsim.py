@@ -1,19 +1,25 @@
 """Pairs of entities with similar sets: exact counts, and MinHash candidates with exact verification.
 
 An incidence has the columns `key` (the entity) and `member`. Null keys and members drop out, repeated rows count once,
-other columns are ignored. An empty incidence gives an empty result.
+other columns are ignored. An empty incidence gives an empty result. Inside, entities are dense numbers in the order of
+their keys; keys come back with the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillstone.functions import minhash
 from rillstone.functions.similarity import jaccard
+from rillstone.plans.cut import cut
+from rillstone.plans.numbering import numbered
+from rillstone.plans.spread import ROWS, hot_groups, repeat, split, spread_join
 
 BLOCK = 512
+PAIRS_PER_TASK = 2_000_000
+MOST_TASKS = 100_000
 
 
 def incidence(df: DataFrame, key: str, member: str) -> DataFrame:
@@ -27,53 +33,121 @@ def set_sizes(inc: DataFrame) -> DataFrame:
 
 def supported(inc: DataFrame, least: int = 3) -> DataFrame:
     """Rows of the keys that have at least `least` members."""
-    return inc.join(set_sizes(inc).where(F.col("n") >= least).select("key"), "key", "left_semi")
+    inc = cut(inc, "incidence")
+    sizes = set_sizes(inc)
+    large = sizes.where(F.col("n") >= least).select("key")
+    return spread_join(inc, large, ["key"], hot_groups(sizes, ["key"], "n", ROWS, inc.count()), "member")
+
+
+def coded(rows: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """`rows` (key, member, ...) with `id` and `n` in place of the key, and (id, key, n) of the entities with `least` members.
+
+    `rows` is a table that can be read again, as are both results.
+    """
+    keys = numbered(set_sizes(rows).where(F.col("n") >= least), "key", "id")
+    found = spread_join(rows, keys, ["key"], hot_groups(keys, ["key"], "n", ROWS, rows.count()), "member").drop("key")
+    return cut(found, "coded"), keys
+
+
+def named(pairs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """(k1, k2, columns) of pairs (id1, id2, columns)."""
+    one, two = (keys.select(F.col("id").alias(f"id{i}"), F.col("key").alias(f"k{i}")) for i in (1, 2))
+    return pairs.join(one, "id1").join(two, "id2").select("k1", "k2", *columns)
+
+
+def meeting(rows: DataFrame, *columns: str, block: int = BLOCK) -> DataFrame:
+    """(id1, id2, columns with 1 and 2) for every member two entities id1 < id2 share: one row for each.
+
+    An equi-join on the member. The rows of a member with more than `block` entities are split by a hash of the entity on
+    one side and repeated for the parts on the other, before any join on the member. The number of tasks follows the number
+    of pairs, which the sizes of the groups tell, and not the size of the few rows they come from. `rows` is a table.
+    """
+    sizes = rows.groupBy("member").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    total, work = sizes.agg(F.sum("m"), F.sum(F.col("m").cast("double") * F.col("m") / 2)).first()
+    hot = hot_groups(sizes, ["member"], "m", block, total or 0)
+    tasks = int(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min((work or 0) / PAIRS_PER_TASK, MOST_TASKS)))
+    side = lambda i: rows.select("member", *[F.col(c).alias(f"{c}{i}") for c in ("id", *columns)])
+    by = ["member", "__part"]
+    left = split(side(1), ["member"], hot, "id1").repartition(tasks, *by)
+    right = repeat(side(2), ["member"], hot).repartition(tasks, *by)
+    return left.join(right, by).where("id1 < id2").drop(*by)
+
+
+def may_reach(threshold: float) -> Column:
+    """Whether sets of sizes n1 and n2 can have a Jaccard of `threshold`: the smaller one over the larger one."""
+    return F.least("n1", "n2") / F.greatest("n1", "n2") >= F.lit(float(threshold))
 
 
 def common_members(inc: DataFrame, least: int = 1, block: int = BLOCK) -> DataFrame:
     """(k1, k2, c) for every pair k1 < k2 with at least `least` common members.
 
-    An equi-join on the member. The rows of a member with more than `block` keys are split by a hash of their key on one
-    side and repeated per part on the other, so no task pairs more than `block` keys with the rest of the group; the
-    counts are combined before the shuffle.
+    Two entities with `least` common members share one that is not among the `least` - 1 most frequent members of either,
+    so pairs are found through the others, and counted then. Hot members take part only where an entity has as many.
     """
-    sizes = inc.groupBy("member").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    parts = inc.join(sizes, "member").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
-    left = parts.select("member", F.col("key").alias("k1"), F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"))
-    right = parts.select("member", F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs = left.join(right, ["member", "part"]).where("k1 < k2")
-    return pairs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+    rows, keys = coded(cut(inc.select("key", "member").where("key IS NOT NULL AND member IS NOT NULL").distinct(), "incidence"), least)
+    if least <= 1:
+        found = meeting(rows, block=block).groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("c"))
+    else:
+        found = count_pairs(sharing(rows, least, block=block), rows).where(F.col("c") >= least)
+    return named(found, keys, "c")
 
 
-def with_jaccard(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds `sim` to (k1, k2, c)."""
-    first = sizes.select(F.col("key").alias("k1"), F.col("n").alias("n1"))
-    second = sizes.select(F.col("key").alias("k2"), F.col("n").alias("n2"))
-    return counts.join(first, "k1").join(second, "k2").withColumn("sim", jaccard(F.col("c"), F.col("n1"), F.col("n2")))
+def sharing(rows: DataFrame, least: int, near: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """Distinct (id1, id2, n1, n2) of the entities that may have `least` common members, from `coded` rows.
 
+    The most frequent members of an entity are found by a rank that the optimiser limits before the shuffle.
+    """
+    rows = rows.select("id", "n", "member")
+    sizes = rows.groupBy("member").agg(F.count(F.lit(1)).alias("m"))
+    sized = spread_join(rows, sizes, ["member"], hot_groups(sizes, ["member"], "m", ROWS, rows.count()), "id")
+    order = W.partitionBy("id").orderBy(F.col("m").desc(), "member")
+    first = sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") < least).select("id", "member")
+    rest = cut(rows.join(first, ["id", "member"], "left_anti"), "rest")
+    pairs = meeting(rest, "n", block=block)
+    return (pairs if near is None else pairs.where(near)).distinct()
 
-def exact_pairs(inc: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """(k1, k2, sim) of all pairs with Jaccard >= `threshold` > 0."""
-    return with_jaccard(common_members(inc), set_sizes(inc)).where(F.col("sim") >= F.lit(float(threshold))).select("k1", "k2", "sim")
+
+def count_pairs(pairs: DataFrame, rows: DataFrame, *sums: Column) -> DataFrame:
+    """(id1, id2, n1, n2, c, sums) of pairs (id1, id2, n1, n2), counted from the members of the smaller entity of each.
+
+    `sums` are aggregates over `x` and `y`, the column `r` of the first and of the second entity at a common member.
+    """
+    extra = ["r"] if sums else []
+    first = F.col("n1") <= F.col("n2")
+    sided = pairs.withColumns({"small": F.when(first, F.col("id1")).otherwise(F.col("id2")), "large": F.when(first, F.col("id2")).otherwise(F.col("id1"))})
+    one = rows.select(F.col("id").alias("small"), "member", *[F.col(c).alias("rs") for c in extra])
+    two = rows.select(F.col("id").alias("large"), "member", *[F.col(c).alias("rl") for c in extra])
+    both = sided.join(one, "small").join(two, ["large", "member"])
+    if sums:
+        same = F.col("small") == F.col("id1")
+        both = both.withColumns({"x": F.when(same, F.col("rs")).otherwise(F.col("rl")), "y": F.when(same, F.col("rl")).otherwise(F.col("rs"))})
+    return both.groupBy("id1", "id2", "n1", "n2").agg(F.count(F.lit(1)).alias("c"), *sums)
 
 
-def numbered(inc: DataFrame) -> DataFrame:
-    """(key, member number): dense numbers from 0 in member order, so that signatures don't depend on the run.
+def exact_pairs(inc: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """(k1, k2, sim) of all pairs with Jaccard >= `threshold` > 0.
 
-    Members are numbered within ranges; only the sizes of the ranges meet in one place.
+    Sizes travel with the rows, so pairs of too different sizes drop out before they are counted.
     """
-    members = inc.select("member").distinct().repartitionByRange("member").sortWithinPartitions("member")
-    placed = members.select("member", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"))
-    before = sizes.select("part", "start", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    ids = placed.join(F.broadcast(before), "part").select("member", (F.col("at") - F.col("start") + F.col("before")).alias("number"))
-    return inc.join(ids, "member").select("key", F.col("number").alias("member"))
+    rows, keys = coded(cut(inc.select("key", "member").where("key IS NOT NULL AND member IS NOT NULL").distinct(), "incidence"))
+    met = meeting(rows, "n").where(may_reach(threshold))
+    counts = met.groupBy("id1", "id2", "n1", "n2").agg(F.count(F.lit(1)).alias("c"))
+    return named(_reaching(counts, threshold), keys, "sim")
+
+
+def _reaching(counts: DataFrame, threshold: float) -> DataFrame:
+    return counts.withColumn("sim", jaccard(F.col("c"), F.col("n1"), F.col("n2"))).where(F.col("sim") >= F.lit(float(threshold)))
 
 
 def signatures(inc: DataFrame, family: minhash.HashFamily = minhash.HashFamily(), hashes: int = 50, first: int = 1) -> DataFrame:
-    """(key, sig): minima over the numbered members, one aggregate per hash function, combined before the shuffle."""
-    base = numbered(inc).select("key", family.member_base(F.col("member")).alias("t"))
-    mins = [F.min(family.value(F.col("t"), F.lit(i).cast("long"))).alias(f"h{i}") for i in range(first, first + hashes)]
+    """(key, sig): minima over the numbered members, one aggregate per hash function, combined before the shuffle.
+
+    Members are numbered from 0 in their order, so that signatures don't depend on the run.
+    """
+    inc = cut(inc.select("key", "member"), "members")
+    numbers = numbered(inc.groupBy("member").agg(F.count(F.lit(1)).alias("m")), "member").select("member", "m", family.member_base(F.col("number")).alias("t"))
+    base = spread_join(inc, numbers.drop("m"), ["member"], hot_groups(numbers, ["member"], "m", ROWS, inc.count()), "key")
+    mins = [family.least("t", i).alias(f"h{i}") for i in range(first, first + hashes)]
     found = base.groupBy("key").agg(*mins)
     return found.select("key", F.array(*[f"h{i}" for i in range(first, first + hashes)]).alias("sig"))
 
@@ -84,28 +158,8 @@ def band_keys(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def candidates(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct (k1, k2), k1 < k2, of keys that share a bucket, by the blocked self-join of `common_members`."""
-    members = buckets.select("key", F.struct("band", "rows").alias("member"))
-    return common_members(members, block=block).select("k1", "k2")
-
-
-def candidates_between(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct (k1, k2) of a key of `left` and one of `right` that share a bucket.
-
-    A bucket with more than `block` keys of `left` is split by a hash of the key; the keys of `right` go to every part.
-    """
-    sizes = left.groupBy("band", "rows").agg(F.count(F.lit(1)).alias("m"))
-    parts = sizes.withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
-    one = left.join(parts, ["band", "rows"]).select("band", "rows", F.col("key").alias("k1"), F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"))
-    two = right.join(parts, ["band", "rows"]).select("band", "rows", F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return one.join(two, ["band", "rows", "part"]).select("k1", "k2").distinct()
-
-
-def verified(pairs: DataFrame, inc: DataFrame, threshold: float) -> DataFrame:
-    """(k1, k2, sim) of the candidate pairs whose exact Jaccard reaches `threshold`."""
-    left = pairs.join(inc.select(F.col("key").alias("k1"), "member"), "k1")
-    common = left.join(inc.select(F.col("key").alias("k2"), "member"), ["k2", "member"]).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"))
-    return with_jaccard(common, set_sizes(inc)).where(F.col("sim") >= F.lit(float(threshold))).select("k1", "k2", "sim")
+    """Distinct (k1, k2), k1 < k2, of keys that share a bucket."""
+    return common_members(buckets.select("key", F.struct("band", "rows").alias("member")), block=block).select("k1", "k2")
 
 
 def lsh_pairs(
@@ -116,8 +170,18 @@ def lsh_pairs(
     bands: int = 50,
     first: int = 1,
 ) -> DataFrame:
-    """(k1, k2, sim): MinHash candidates, verified exactly. With `first` 0 the first band holds every key."""
+    """(k1, k2, sim): MinHash candidates, verified exactly.
+
+    With `first` 0 and one row a band, the first band would hold every key in one bucket: all pairs are candidates, and the
+    result is that of `exact_pairs`, which is taken instead.
+    """
     if hashes % bands:
         raise ValueError("the number of bands must divide the number of hashes")
-    found = candidates(band_keys(signatures(inc, family, hashes, first), bands, hashes // bands))
-    return verified(found, inc, threshold)
+    if first == 0 and hashes == bands:
+        return exact_pairs(inc, threshold)
+    rows, keys = coded(cut(inc.select("key", "member").where("key IS NOT NULL AND member IS NOT NULL").distinct(), "incidence"))
+    sigs = signatures(rows.select(F.col("id").alias("key"), "member"), family, hashes, first)
+    buckets = band_keys(sigs, bands, hashes // bands).join(keys.select(F.col("id").alias("key"), "n"), "key")
+    shared = cut(buckets.select(F.col("key").alias("id"), "n", F.struct("band", "rows").alias("member")), "buckets")
+    found = meeting(shared, "n").where(may_reach(threshold)).distinct()
+    return named(_reaching(count_pairs(found, rows), threshold), keys, "sim")

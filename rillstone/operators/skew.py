@@ -3,7 +3,7 @@
 Keys are counted (combined before the shuffle), packed into tasks of about equal load, and rows are sent to their task by
 number. A key with more than a task's share of rows is split into shards in proportion to its load; the matching side of
 a join is repeated only to the tasks that hold shards of a key. What reaches the driver is bounded by the number of
-tasks: at most 4 heavy keys and 8 hash buckets per task.
+tasks: at most 4 heavy keys and 8 hash buckets per task; both go out as small broadcast tables.
 
 Null keys match nothing and form no group; they are spread over the tasks. Repeated rows stay repeated.
 """
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.plans.cut import cut
+
 HEAVY_PER_TASK = 4
 BUCKETS_PER_TASK = 8
 
@@ -29,11 +31,12 @@ class TaskPlan:
     buckets: list[int]
     loads: list[float]
     key_type: str
+    rows: int
 
 
 def key_loads(df: DataFrame, key: str) -> DataFrame:
-    """(key, rows) of every key that isn't null."""
-    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    """(key, rows) of every key, and of the null key."""
+    return df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -65,24 +68,24 @@ def plan_tasks(df: DataFrame, key: str, tasks: int | None = None) -> TaskPlan:
     """Counts the keys of `df` and packs them into `tasks` tasks (default: the session's shuffle partitions)."""
     spark = df.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    loads = key_loads(df, key).persist()
-    try:
-        total = loads.agg(F.sum("rows")).first()[0] or 0
-        least = max(1, total // (HEAVY_PER_TASK * tasks))
-        heavy = [(r.key, r["rows"]) for r in loads.where(F.col("rows") > least).orderBy(F.col("rows").desc(), "key").collect()]
-        count = BUCKETS_PER_TASK * tasks
-        by_bucket = dict(loads.where(F.col("rows") <= least).groupBy(_bucket(F.col("key"), count)).agg(F.sum("rows")).collect())
-    finally:
-        loads.unpersist()
+    every = cut(key_loads(df, key), "loads")
+    rows = every.agg(F.sum("rows")).first()[0] or 0
+    loads = every.where("key IS NOT NULL")
+    count = BUCKETS_PER_TASK * tasks
+    least = max(1, rows // (HEAVY_PER_TASK * tasks))
+    heavy = [(r.key, r["rows"]) for r in loads.where(F.col("rows") > least).orderBy(F.col("rows").desc(), "key").collect()]
+    by_bucket = dict(loads.where(F.col("rows") <= least).groupBy(_bucket(F.col("key"), count)).agg(F.sum("rows")).collect())
     placed, buckets, packed = pack(heavy, [by_bucket.get(b, 0) for b in range(count)], tasks)
-    return TaskPlan(tasks, placed, buckets, packed, df.schema[key].dataType.simpleString())
+    return TaskPlan(tasks, placed, buckets, packed, df.schema[key].dataType.simpleString(), rows)
 
 
 def _with_targets(df: DataFrame, key: str, plan: TaskPlan) -> DataFrame:
     """Adds the tasks of a heavy key's shards and the task of the key's bucket, in columns whose names begin with `__skew_`."""
-    table = df.sparkSession.createDataFrame([(k, t) for k, t in plan.heavy], f"__skew_key {plan.key_type}, __skew_tasks array<int>")
-    task = F.element_at(F.array(*[F.lit(t) for t in plan.buckets]), _bucket(F.col(key), len(plan.buckets)) + 1)
-    return df.join(F.broadcast(table), F.col(key) == F.col("__skew_key"), "left").drop("__skew_key").withColumn("__skew_task", task)
+    spark = df.sparkSession
+    table = spark.createDataFrame(plan.heavy, f"__skew_key {plan.key_type}, __skew_tasks array<int>")
+    buckets = spark.createDataFrame(list(enumerate(plan.buckets)), "__skew_bucket int, __skew_task int")
+    placed = df.join(F.broadcast(table), F.col(key) == F.col("__skew_key"), "left").drop("__skew_key")
+    return placed.withColumn("__skew_bucket", _bucket(F.col(key), len(plan.buckets))).join(F.broadcast(buckets), "__skew_bucket", "left").drop("__skew_bucket")
 
 
 def scatter(df: DataFrame, key: str, plan: TaskPlan, spread: Column | None = None) -> DataFrame:
@@ -143,7 +146,8 @@ def heavy_keys(df: DataFrame, key: str, least_share: float, plan: TaskPlan | Non
 
     The least number of rows is taken as an exact decimal product, so a key exactly at the limit is in.
     """
-    total = df.count()
+    plan = plan or plan_tasks(df, key)
+    total = plan.rows
     found = balanced_aggregate(df.select(key), key, {"n": F.count(F.lit(1))}, {"rows": F.sum("n")}, plan, F.monotonically_increasing_id())
     limit = F.lit(str(least_share)).cast("decimal(20,10)") * F.lit(total).cast("decimal(18,0)")
     return found.where(F.col("rows") >= limit).select(F.col(key).alias("key"), "rows", F.round(F.col("rows") / F.lit(max(total, 1)), 6).alias("share"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ import rillstone
 cloudpickle.register_pickle_by_value(rillstone)
 
 _OWN: dict[str, str] = {}
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,17 +36,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; what is written there goes at the end of `scratch`, or with the process."""
+    path = f"{shared_dir(spark)}/rillstone-{label}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` as Parquet into the shared folder and returns the table read back.
 
     Later stages that need it more than once read files instead of recomputing, and a lost executor costs no more than
     the tasks it held. An empty frame gives an empty table with the same columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rillstone-{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables that were cut inside when the block ends: results must be written or collected by then."""
+    at = len(_MADE)
+    try:
+        yield
+    finally:
+        while len(_MADE) > at:
+            _remove(*_MADE.pop())
+
+
+def _remove_all() -> None:
+    while _MADE:
+        _remove(*_MADE.pop())
+
+
+atexit.register(_remove_all)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -53,5 +81,5 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: the folder's owner clears it
-        pass
+    except Exception as e:  # the session may have ended: the folder's owner clears it
+        print(f"not removed: {path} ({type(e).__name__})", file=sys.stderr)

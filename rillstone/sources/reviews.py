@@ -52,6 +52,13 @@ def ratings(raw: DataFrame) -> DataFrame:
     )
 
 
+def reviewed(raw: DataFrame) -> DataFrame:
+    """(user, item) of every row that is a review with both, for uses that don't count reviews: copies of a review name the
+    same pair, so rows needn't be combined by review first."""
+    named = raw.where(blank_to_null("review_id").isNotNull()).select(blank_to_null("user_id").alias("user"), blank_to_null("business_id").alias("item"))
+    return named.where("user IS NOT NULL AND item IS NOT NULL")
+
+
 def documents(raw: DataFrame, *columns: str) -> DataFrame:
     """(item, columns): one row per review of a business; texts are not concatenated, counts add up instead."""
     return (
@@ -95,3 +102,9 @@ def user_averages(raw: DataFrame) -> DataFrame:
 def averages_of(ratings_: DataFrame) -> DataFrame:
     """(user, avg_stars) computed from ratings, where no file of averages is at hand."""
     return ratings_.groupBy("user").agg(F.avg("stars").alias("avg_stars")).where(F.col("avg_stars").isNotNull())
+
+
+def read_averages(spark: SparkSession, path: str) -> DataFrame:
+    """(user, avg_stars) from JSON objects that map users to averages, one object per line; null averages drop out."""
+    entries = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,double>")).alias("user", "avg_stars"))
+    return entries.select(blank_to_null("user").alias("user"), "avg_stars").where("user IS NOT NULL AND avg_stars IS NOT NULL")

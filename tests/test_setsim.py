@@ -77,8 +77,26 @@ def test_aggregated_signatures_equal_array_signatures(spark):
         assert got[key] == want
 
 
-def test_plan_bands():
-    assert [minhash.plan_bands(*x) for x in ((0.05, 50), (0.2, 50), (0.5, 50), (0.05, 100), (0.9, 12))] == [25, 25, 10, 50, None]
+def test_bands_reach_the_recall():
+    assert minhash.bands_for(0.05, 0.9, 50) == 50 and minhash.bands_for(0.5, 0.9, 50) == 25
+    assert 1 - (1 - 0.8**5) ** 10 >= 0.9 > 1 - (1 - 0.8**10) ** 5 and minhash.bands_for(0.8, 0.9, 50) == 10
+    with pytest.raises(ValueError):
+        minhash.bands_for(0.01, 0.9, 50)
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_pairs_found_without_the_most_frequent_members(spark, block):
+    pairs = [(f"k{i}", m) for i in range(8) for m in ("hot", "warm")] + [("k1", "x"), ("k2", "x"), ("k2", "y"), ("k3", "y"), ("k3", "x")]
+    found = rows(setsim.common_members(table(spark, pairs * 2, SCHEMA), 3, block))
+    assert found == [("k1", "k2", 3), ("k1", "k3", 3), ("k2", "k3", 4)]
+
+
+def test_hot_keys_and_members_are_split_and_nulls_drop_out(spark, monkeypatch):
+    monkeypatch.setattr(setsim, "ROWS", 2)
+    pairs = [("a", str(i)) for i in range(9)] + [("b", str(i)) for i in range(6)] + [(None, "1"), ("c", None), ("c", "1")]
+    assert rows(setsim.exact_pairs(table(spark, pairs, SCHEMA), 0.5)) == [("a", "b", 6 / 9)]
+    assert rows(setsim.supported(table(spark, pairs[:15], SCHEMA), 7)) == sorted(pairs[:9])
+    assert rows(setsim.lsh_pairs(table(spark, pairs, SCHEMA), 0.5)) == [("a", "b", 6 / 9)]
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

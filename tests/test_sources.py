@@ -1,8 +1,9 @@
 import json
+from pathlib import Path
 
 import pytest
 
-from rillstone.plans.cut import cut, shared_dir
+from rillstone.plans.cut import cut, scratch, shared_dir
 from rillstone.sources import reviews as src
 from rillstone.sources import sinks
 
@@ -94,3 +95,36 @@ def test_named_folder_wins_and_is_needed_on_a_cluster():
     assert shared_dir(Named()) == "/shared/named"
     with pytest.raises(ValueError):
         shared_dir(Cluster())
+
+
+def test_four_line_model(spark, tmp_path):
+    found = table(spark, [("bprofile", 'i"1', ["a\n", "é\\"]), ("bprofile", "j", []), ("uprofile", "u", ["a"]), ("ureviews", "u", ["i"])], "kind string, id string, words array<string>")
+    index = table(spark, [("a]", 1), ("b", 2)], "word string, index long")
+    for per_line in (1, 10_000):
+        path = str(tmp_path / f"m{per_line}")
+        sinks.write_model_lines(found, path, index, per_line)
+        assert rows(sinks.read_model_lines(spark, path)) == rows(found)
+        assert rows(sinks.read_model_index(spark, path)) == rows(index)
+    assert len(spark.read.text(str(tmp_path / "m10000")).collect()) == 4
+
+
+def test_entries_split_long_profiles(spark):
+    words = table(spark, [("u", str(i)) for i in range(9)] * 2 + [("v", "x")], "user string, word string")
+    parts = rows(sinks.entries(words, "user", 4))
+    assert sum(r[0] == "u" for r in parts) > 1 and sorted(w for r in parts if r[0] == "u" for w in r[1]) == [str(i) for i in range(9)]
+    assert ("v", ["x"]) in parts
+
+
+def test_averages_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"u": 3.5, " v ": 1.0, "n": None}) + "\n")
+    assert rows(src.read_averages(spark, str(tmp_path / "a.json"))) == [("u", 3.5), ("v", 1.0)]
+    sinks.write_averages(table(spark, [('x"y', 2.0)], "user string, avg_stars double"), str(tmp_path / "b"))
+    assert rows(src.read_averages(spark, str(tmp_path / "b"))) == [('x"y', 2.0)]
+
+
+def test_scratch_removes_its_tables(spark):
+    with scratch():
+        kept = cut(spark.range(3), "x")
+        path = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+        assert path.exists()
+    assert not path.exists()

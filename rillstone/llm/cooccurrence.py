@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillstone.operators.setsim import common_members
+from rillstone.operators.setsim import meeting
 from rillstone.plans.cut import cut
+from rillstone.plans.spread import ROWS, hot_groups, spread_join
 
 HEAVY_BASKET = 64
 MOST_HEAVY = 256
@@ -19,11 +20,23 @@ EXACT_SIZES = 512
 SIZE_STEP = 1.02
 
 
-def pair_counts(inc: DataFrame, least: int = 5, most_share: float | None = None) -> tuple[DataFrame, DataFrame, int]:
+def edges_of(inc: DataFrame) -> DataFrame:
+    """The distinct (key, member) rows of an incidence, without nulls, as a table."""
+    return cut(inc.select("key", "member").where("key IS NOT NULL AND member IS NOT NULL").distinct(), "edges")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(k1, k2, c) of the ids that share members, from a table (id, member) of distinct rows."""
+    met = meeting(rows).groupBy(F.col("id1").alias("k1"), F.col("id2").alias("k2"))
+    return met.agg(F.count(F.lit(1)).alias("c"))
+
+
+def pair_counts(inc: DataFrame, least: int = 5, most_share: float | None = None, distinct: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """(k1, k2, c, n1, n2) of every pair of items with c >= `least` common baskets, the (key, n) of all items, and the
     number of baskets.
 
-    `inc` has `key` (item) and `member` (basket); nulls drop out, repeats count once. Items in fewer than `least` baskets
+    `inc` has `key` (item) and `member` (basket); nulls drop out, repeats count once. With `distinct`, `inc` is what
+    `edges_of` gives and is used as it is. Items in fewer than `least` baskets
     can't be in a pair, nor, if `most_share` is given, those in more than that share of all baskets.
 
     The up to `MOST_HEAVY` largest baskets (above `HEAVY_BASKET` items) emit no pairs: each item carries a bit for each of
@@ -31,7 +44,7 @@ def pair_counts(inc: DataFrame, least: int = 5, most_share: float | None = None)
     heavy ones still shares one that is not among the `least - 1` largest of either item, and is found through that. With
     `least` 1 every pair of a basket comes out in any case, so all baskets emit their pairs.
     """
-    edges = cut(inc.select("key", "member").where("key IS NOT NULL AND member IS NOT NULL").distinct(), "edges")
+    edges = inc if distinct else edges_of(inc)
     spark = edges.sparkSession
     items = cut(edges.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "items")
     baskets = edges.groupBy("member").agg(F.count(F.lit(1)).alias("m"))
@@ -41,7 +54,7 @@ def pair_counts(inc: DataFrame, least: int = 5, most_share: float | None = None)
         able = able.where(F.col("n") <= F.lit(most_share * n_baskets))
     able = cut(able.withColumn("id", F.monotonically_increasing_id()), "able")
     heavy = [r.member for r in baskets.where(F.col("m") > HEAVY_BASKET).orderBy(F.col("m").desc(), "member").limit(MOST_HEAVY).collect()] if least > 1 else []
-    numbered = edges.join(able.select("key", "id"), "key").select("id", "member")
+    numbered = spread_join(edges, able, ["key"], hot_groups(able, ["key"], "n", ROWS, edges.count()), "member").select("id", "member")
     words = MOST_HEAVY // 64
     if heavy:
         table = F.broadcast(spark.createDataFrame(list(zip(heavy, range(len(heavy)))), f"member {edges.schema['member'].dataType.simpleString()}, bit int"))
@@ -52,12 +65,12 @@ def pair_counts(inc: DataFrame, least: int = 5, most_share: float | None = None)
         # Bits are in order of size, so the `least - 1` largest baskets of an item are its smallest bits.
         order = W.partitionBy("id").orderBy("bit")
         later = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") >= least)
-        only_heavy = common_members(later.select(F.col("id").alias("key"), F.col("bit").alias("member"))).select("k1", "k2", F.lit(0).cast("long").alias("c"))
+        only_heavy = _counted(cut(later.select("id", F.col("bit").alias("member")), "later")).withColumn("c", F.lit(0).cast("long"))
     else:
         light = numbered
         bits = spark.createDataFrame([], "id long, " + ", ".join(f"w{w} long" for w in range(words)))
         only_heavy = None
-    pairs = common_members(light.select(F.col("id").alias("key"), "member"))
+    pairs = _counted(cut(light, "light"))
     if only_heavy is not None:
         pairs = pairs.unionByName(only_heavy).groupBy("k1", "k2").agg(F.sum("c").alias("c"))
     about = cut(able.join(bits, "id", "left"), "about")
@@ -183,6 +196,6 @@ def surprise(pairs: DataFrame, items: DataFrame, baskets: DataFrame, n_baskets:
     )
 
 
-def basket_sizes(inc: DataFrame) -> DataFrame:
+def basket_sizes(edges: DataFrame) -> DataFrame:
     """(member, m) of every basket."""
-    return inc.where("key IS NOT NULL AND member IS NOT NULL").distinct().groupBy("member").agg(F.count(F.lit(1)).alias("m"))
+    return edges.where("key IS NOT NULL AND member IS NOT NULL").select("key", "member").distinct().groupBy("member").agg(F.count(F.lit(1)).alias("m"))

@@ -166,16 +166,20 @@ def mix(sizes: DataFrame, plan: DataFrame, seed: int = 0, block: int = BLOCK) ->
 
 
 def mix_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, target_share, reached_share, share_of_mix, documents, copies, tokens, can_reach) of a mix.
+    """(source, target_share, reached_share, share_of_mix, documents, copies, tokens, can_reach, exhausted, falls_short) of a mix.
 
     `reached_share` is of the planned total, of which targets are shares; `share_of_mix` is of what the mix really holds, which
-    is less where sources fall short.
+    is less where sources fall short. A source is exhausted if the mix has all its documents, each as often as it may be,
+    and falls short if they hold fewer tokens than wanted.
     """
     got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed"))
     total = got.agg(F.sum("mixed").alias("total"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0))
     share = lambda of: F.round(F.coalesce(F.try_divide("mixed", of), F.lit(0.0)), 6)
-    return plan.join(got, "source", "left").join(F.broadcast(total)).select(
+    # A document without tokens has rate 0 where its whole source has none; such a source is exhausted as it is.
+    exhausted = (zero(F.col("copies")) >= F.col("docs") * F.col("max_repeats")) | (F.col("docs") == 0) | (zero(F.col("planned")) == 0) | (F.col("rate") == 0)
+    return plan.withColumnRenamed("tokens", "held").join(got, "source", "left").join(F.broadcast(total)).select(
         "source", F.round("target_share", 6).alias("target_share"), share(F.col("planned")).alias("reached_share"), share(F.col("total")).alias("share_of_mix"),
-        zero("documents"), zero("copies"), F.coalesce("mixed", F.lit(0)).alias("tokens"), "can_reach",
+        zero("documents").alias("documents"), zero("copies").alias("copies"), zero(F.col("mixed")).alias("tokens"), "can_reach",
+        exhausted.alias("exhausted"), (zero(F.col("mixed")) < F.col("wanted")).alias("falls_short"),
     )

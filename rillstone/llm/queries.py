@@ -43,8 +43,9 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
     """The five content terms of most reviews of every business and every user."""
-    both = F.inline(F.array(F.struct(F.lit("business").alias("kind"), F.col("business_id").alias("gid")), F.struct(F.lit("user").alias("kind"), F.col("user_id").alias("gid"))))
-    rows = _keyed(s, d).select(both, F.col("review_id").alias("record"), "text")
+    of = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("gid"))
+    groups = F.array(of("business", "business_id"), of("user", "user_id"))
+    rows = _keyed(s, d).select(groups.alias("groups"), F.col("review_id").alias("record"), "text")
     counts = terms.grouped_counts(rows, _stop(s, d), "records")
     best = top_terms.top_n(counts, ["kind", "gid"], "n", "term", 5)
     return best.select(F.col("kind").alias("group_kind"), F.col("gid").alias("group_id"), "term")
@@ -76,8 +77,12 @@ def p4_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
-    """Scored terms with three occurrences or more whose tf-idf reaches the limit."""
-    scored = _distinctive(s, d, 3).where("z IS NOT NULL")
+    """Terms of the distinctive-term operator with three occurrences or more whose tf-idf reaches the limit.
+
+    The contract defines these rows by tf-idf, from the operator's k, n and d. This isn't the log-odds result: that is
+    `p4_scores`, and z decides nothing here.
+    """
+    scored = _distinctive(s, d, 3)
     n_all = src.table(s, d, "train_review").select(src.blank_to_null("business_id").alias("b")).where("b IS NOT NULL").distinct().count()
     tfidf = F.col("k") / F.col("n") * F.log2(F.lit(float(max(n_all, 1))) / F.col("d"))
     return scored.where(tfidf >= F.lit(0.0517)).select(F.col("gid").alias("business_id"), "term")
@@ -85,17 +90,19 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 def p5_surprise(s: SparkSession, d: str) -> DataFrame:
     """Every pair of businesses with a common user, with lift, expectation under the null, p and q."""
-    inc = _audiences(s, d)
-    pairs, items, n = cooccurrence.pair_counts(inc, 1)
-    found = cooccurrence.surprise(pairs, items, cooccurrence.basket_sizes(inc), n, 1)
+    edges = cooccurrence.edges_of(_audiences(s, d))
+    pairs, items, n = cooccurrence.pair_counts(edges, 1, distinct=True)
+    found = cooccurrence.surprise(pairs, items, cooccurrence.basket_sizes(edges), n, 1)
     return found.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "c", "n1", "n2", *[F.round(c, 6).alias(c) for c in ("lift", "expected", "log10_p", "q")], "surprising")
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    inc = _audiences(s, d)
-    pairs, items, n = cooccurrence.pair_counts(inc, most_share=1 / 3)
-    found = cooccurrence.surprise(pairs.where(F.col("c") * n >= 3 * F.col("n1") * F.col("n2")), items, cooccurrence.basket_sizes(inc), n)
-    return found.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"))
+    """Pairs with five common users or more and a lift of three or more, from the operator's exact counts.
+
+    The contract defines these rows by counts alone, so the null isn't fitted here: its tails are in `p5_surprise`.
+    """
+    pairs, _, n = cooccurrence.pair_counts(_audiences(s, d), most_share=1 / 3)
+    return pairs.where(F.col("c") * n >= 3 * F.col("n1") * F.col("n2")).select(F.col("k1").alias("b1"), F.col("k2").alias("b2"))
 
 
 def p7_tiles(s: SparkSession, d: str) -> DataFrame:
@@ -124,9 +131,13 @@ def _sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(s: SparkSession, d: str) -> DataFrame:
-    """Sources that can't reach their share."""
+    """Sources that can't reach their share, read off the mix of the cube method.
+
+    Such a source has every document in the mix as often as it may be, and still falls short of what it should have.
+    """
     sizes = cut(_sizes(s, d), "sizes")
-    return mixing.mix_plan(sizes, src.table(s, d, "mix_target")).where("NOT can_reach").select("source")
+    plan = mixing.mix_plan(sizes, src.table(s, d, "mix_target"))
+    return mixing.mix_report(mixing.mix(sizes, plan), plan).where("exhausted AND falls_short").select("source")
 
 
 def p8_mix(s: SparkSession, d: str) -> DataFrame:
@@ -139,7 +150,7 @@ def p8_report(s: SparkSession, d: str) -> DataFrame:
     """Target and reached share of each source of the mix."""
     sizes = cut(_sizes(s, d), "sizes")
     plan = mixing.mix_plan(sizes, src.table(s, d, "mix_target"))
-    return mixing.mix_report(mixing.mix(sizes, plan), plan)
+    return mixing.mix_report(mixing.mix(sizes, plan), plan).drop("exhausted", "falls_short")
 
 
 def _abuse(s: SparkSession, d: str) -> DataFrame:

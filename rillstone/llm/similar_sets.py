@@ -5,21 +5,24 @@ records meet because the choice depends on the token, not on the record. Nodes t
 brute force, with a filter on sizes and on 32 one-byte MinHash values; the pairs of all trees are verified exactly.
 
 Recall. Records of J >= t share at least t n tokens, n being the larger size, so at a node with a path of L tokens they
-share t n - L more at least, and a token is followed with probability branch t / (t n - L): with branch 4 and t = 0.5 a
-pair parts at a node with probability at most e^-2, at any depth. Over three levels a tree finds a pair with probability
-0.64 at least, and eight trees miss it with less than 0.0003 (one level: 1e-7). Where t n - L is at most branch t, all
-tokens are followed. A pair that shares no token beside the path has J >= t only if t (n1 + n2) <= (1 + t) L; such pairs
-are taken at the node itself, before it is split. The MinHash filter asks for 5 of 32 equal bytes and drops a pair of
-J = 0.5 with probability 1e-5.
+share t n - L more at least, and a token is followed with probability branch t / (t n - L). The branch is 2 / t (4 at
+t = 0.5, and never less than that), so a pair parts at a node with probability at most e^-2, at any depth and threshold.
+Over three levels a tree finds a pair with probability 0.64 at least, and eight trees miss it with less than 0.0003 (one
+level: 1e-7); over all six levels they find it with 0.987 at least. Where t n - L is at most branch t, all tokens are
+followed. A pair that shares no token beside the path has J >= t only if t (n1 + n2) <= (1 + t) L; such pairs
+are taken at the node itself, before it is split. The MinHash filter asks for as many of 32 equal bytes (5 at t = 0.5) as
+a pair of J = t misses with probability 1e-5 at most.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.operators.setsim import count_pairs
 from rillstone.plans.cut import cut
 
 TREES = 8
@@ -27,7 +30,8 @@ BRANCH = 4.0
 LEAF = 100
 DEPTH = 6
 SKETCH = 32
-LEAST_EQUAL = 5
+FOLLOWED = 2.0
+MISSED = 1e-5
 
 
 def _uniform(*columns: Column) -> Column:
@@ -45,6 +49,18 @@ def _equal_bytes(a: str, b: str) -> Column:
     return total
 
 
+def least_equal(threshold: float) -> int:
+    """The most equal bytes that can be asked for so that a pair of Jaccard `threshold` is dropped with chance `MISSED` at most.
+
+    A byte agrees with chance t at least, so their number is at least that of a binomial distribution.
+    """
+    tail, k = 0.0, 0
+    while tail + math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) <= MISSED and k < SKETCH:
+        tail += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)
+        k += 1
+    return k
+
+
 def describe_sets(edges: DataFrame, least: int) -> DataFrame:
     """(key, n, f1, f2, s0..): size, fingerprint and packed MinHash of every set, all combined before the shuffle."""
     token = F.xxhash64("member")
@@ -129,14 +145,14 @@ def chosen_path_pairs(records: DataFrame, edges: DataFrame, threshold: float, tr
     parts = rows.withColumn("parts", F.ceil(F.col("size") / leaf).cast("int"))
     left = parts.select("node", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s[1:]}") for s in packed])
     right = parts.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s[1:]}") for s in packed])
-    near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold))) & (_equal_bytes("a", "b") >= LEAST_EQUAL)
+    near = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(float(threshold))) & (_equal_bytes("a", "b") >= least_equal(threshold))
     pairs = left.join(right, ["node", "part"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
     if used:
         pairs = pairs.unionByName(used_up_pairs(reduce(DataFrame.unionByName, used), threshold, leaf))
     return pairs.distinct()
 
 
-def similar_sets(inc: DataFrame, threshold: float = 0.5, least: int = 3, other: DataFrame | None = None, trees: int = TREES, branch: float = BRANCH, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def similar_sets(inc: DataFrame, threshold: float = 0.5, least: int = 3, other: DataFrame | None = None, trees: int = TREES, branch: float | None = None, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """Pairs of similar sets, as (a, b, sim) between classes of equal sets and (key, id) membership.
 
     `inc` has `key` and `member`; nulls drop out, repeated rows count once, sets of fewer than `least` members are left
@@ -144,8 +160,9 @@ def similar_sets(inc: DataFrame, threshold: float = 0.5, least: int = 3, other:
     of a record of `inc` and one of `other` come out, and membership has the column `side`, 1 or 2. Similarity is the
     exact Jaccard of the members' values, compared as a fraction.
     """
-    if not 0.5 <= threshold <= 1:
-        raise ValueError("the parameters are chosen for thresholds from 0.5 to 1")
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    branch = branch or max(BRANCH, FOLLOWED / threshold)
     clean = lambda df: df.select("key", "member").where("key IS NOT NULL AND member IS NOT NULL").distinct()
     if other is None:
         edges = cut(clean(inc), "edges")
@@ -161,11 +178,11 @@ def similar_sets(inc: DataFrame, threshold: float = 0.5, least: int = 3, other:
         sides = members.groupBy("id").agg(F.bit_or(F.col("side")).alias("sides"))
         x, y = (sides.select(F.col("id").alias(k), F.col("sides").alias(f"s_{k}")) for k in ("a", "b"))
         found = found.join(x, "a").join(y, "b").where(F.col("s_a").bitwiseOR(F.col("s_b")) == 3).select("a", "b")
-    first = found.join(tokens.select(F.col("id").alias("a"), F.col("n").alias("na"), "member"), "a")
-    both = first.join(tokens.select(F.col("id").alias("b"), F.col("n").alias("nb"), "member"), ["b", "member"])
-    common = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    sim = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    pairs = common.where(F.col("c") >= F.lit(float(threshold)) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b", sim.alias("sim"))
+    sized = lambda i, k: records.select(F.col("id").alias(k), F.col("n").alias(f"n{i}"))
+    pairs = found.join(sized(1, "a"), "a").join(sized(2, "b"), "b").withColumnsRenamed({"a": "id1", "b": "id2"})
+    common = count_pairs(pairs, tokens)
+    union = F.col("n1") + F.col("n2") - F.col("c")
+    pairs = common.where(F.col("c") >= F.lit(float(threshold)) * union).select(F.col("id1").alias("a"), F.col("id2").alias("b"), (F.col("c") / union).alias("sim"))
     grouped = members.groupBy("id").agg(F.count(F.lit(1)).alias("records"), *([F.countDistinct("side").alias("sides")] if other is not None else []))
     itself = grouped.where("sides > 1" if other is not None else "records > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
     return pairs.unionByName(itself), members

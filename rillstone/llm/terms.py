@@ -6,7 +6,7 @@ shuffle several times the size of the texts.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,18 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import rillstone.plans.cut  # noqa: F401  (functions of the package travel with the job)
-from rillstone.functions.text import DIGITS, LEAST_LETTERS, SEPARATORS
+from rillstone.functions.text import DIGITS, LEAST_LETTERS, SEPARATORS, WHITE_SPACE
+from rillstone.plans.cut import cut
+from rillstone.plans.spread import hot_groups, split
 
-NO_DIGITS = {ord(c): None for c in DIGITS}
-BLANKS = {ord(c): " " for c in SEPARATORS}
+PIECES = {ord(c): " " for c in SEPARATORS + WHITE_SPACE} | {ord(c): None for c in DIGITS}
 
 
 def words_of(text: str | None) -> list[str]:
     """Terms with repeats, as `functions.text.all_terms` gives them. A null text has none."""
     if not text:
         return []
-    return [w for w in text.translate(NO_DIGITS).lower().translate(BLANKS).split() if len(w) >= LEAST_LETTERS]
+    return [w for w in text.translate(PIECES).lower().split(" ") if len(w) >= LEAST_LETTERS]
 
 
 def sorted_runs(text_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -96,75 +96,89 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SHARD_ROWS = 20_000
-MOST_HOT = 1_000
+MOST_HOT = 1_000_000
+TASK_BYTES = 64_000_000
 
 
 def grouped_counts(rows: DataFrame, stopwords: list[str], by: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(kind, gid, term, n): content terms of each group of records, by 'records' or by 'occurrences'.
 
-    `rows` has `kind`, `gid`, `record` and `text`. Rows with a null group or record drop out; repeated records of a group
-    count once, with the text that comes first in order. Groups are counted where their rows meet; a group with more than
-    `shard_rows` rows (and at least a thousandth of all) is first counted in shards by record and then added up, so no
-    task holds more than a shard of a hot group. At most `MOST_HOT` groups per kind can be hot.
+    `rows` has `record`, `text` and `kind` and `gid`, or, for records that belong to several groups, `groups`, an array of
+    (kind, gid). Rows with a null group or record drop out; repeated records of a group count once, with the terms that
+    come first in order. A text is split into terms once, where it is read, and only its content terms move on. Groups are
+    counted where their terms meet; every group with more than `shard_rows` rows is counted in shards by record, each of
+    about as many rows, and then added up, so no task holds more than a shard of a hot group. A group must also hold more
+    than a `MOST_HOT`-th of all rows, which bounds the table of hot groups. The number of tasks follows the size of the terms.
     """
     if by not in ("records", "occurrences"):
         raise ValueError("by must be 'records' or 'occurrences'")
-    rows = rows.select("kind", "gid", F.col("record").cast("string").alias("record"), "text").where("kind IS NOT NULL AND gid IS NOT NULL AND record IS NOT NULL")
-    sizes = rows.groupBy("kind", "gid").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > shard_rows)
-    least = F.lit(1.0 / MOST_HOT)
-    total = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("all"))
-    hot = [(r.kind, r.gid, -(-r.n // shard_rows)) for r in large.join(F.broadcast(total), "kind").where(F.col("n") > F.col("all") * least).collect()]
-    count = _count_groups(frozenset(stopwords), by)
-    schema = "kind string, gid string, terms array<struct<term:string,n:bigint>>"
-    if not hot:
-        sent = rows.repartition("kind", "gid").sortWithinPartitions("kind", "gid", "record", "text")
-        return sent.withColumn("shard", F.lit(0)).mapInArrow(count, schema).select("kind", "gid", F.inline("terms"))
-    shards = F.broadcast(rows.sparkSession.createDataFrame(hot, "kind string, gid string, shards long"))
-    marked = rows.join(shards, ["kind", "gid"], "left")
-    cold = marked.where("shards IS NULL").drop("shards").repartition("kind", "gid").sortWithinPartitions("kind", "gid", "record", "text")
-    split = marked.where("shards IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("record"), "shards"))
-    split = split.repartition("kind", "gid", "shard").sortWithinPartitions("kind", "gid", "shard", "record", "text")
-    small = cold.withColumn("shard", F.lit(0)).mapInArrow(count, schema).select("kind", "gid", F.inline("terms"))
-    parts = split.mapInArrow(count, schema).select("kind", "gid", F.inline("terms"))
-    return small.unionByName(parts.groupBy("kind", "gid", "term").agg(F.sum("n").alias("n")))
-
-
-def _count_groups(stop: frozenset[str], by: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def batch_of(groups: list[tuple[str, str]], sizes: list[int], terms: list[str], ns: list[int]) -> pa.RecordBatch:
-        each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(ns, pa.int64())], ["term", "n"])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), each)
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), lists], ["kind", "gid", "terms"])
+    groups = F.col("groups") if "groups" in rows.columns else F.array(F.struct(F.col("kind"), F.col("gid")))
+    named = rows.select(groups.alias("groups"), F.col("record").cast("string").alias("record"), "text").where("record IS NOT NULL AND text IS NOT NULL")
+    split_once = named.mapInArrow(_content(frozenset(stopwords), by), "groups array<struct<kind:string,gid:string>>, record string, terms string")
+    found = cut(split_once.select(F.inline("groups"), "record", "terms").where("kind IS NOT NULL AND gid IS NOT NULL"), "terms")
+    total, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("terms") + F.octet_length("gid") + F.octet_length("record"))).first()
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
+    sizes = found.groupBy("kind", "gid").agg(F.count(F.lit(1)).alias("rows"))
+    hot = hot_groups(sizes, ["kind", "gid"], "rows", shard_rows, total, MOST_HOT)
+
+    def counted(part: DataFrame) -> DataFrame:
+        place = ["kind", "gid", "__part"]
+        sent = part.repartition(tasks, *place).sortWithinPartitions(*place, "record", "terms")
+        return sent.mapInArrow(_count_groups, "kind string, gid string, terms array<struct<term:string,n:bigint>>").select("kind", "gid", F.inline("terms"))
+
+    if hot is None:
+        return counted(found.withColumn("__part", F.lit(0)))
+    cold = found.join(hot, ["kind", "gid"], "left_anti").withColumn("__part", F.lit(0))
+    parts = split(found.join(hot, ["kind", "gid"], "left_semi"), ["kind", "gid"], hot, "record")
+    return counted(cold).unionByName(counted(parts).groupBy("kind", "gid", "term").agg(F.sum("n").alias("n")))
+
+
+def _content(stop: frozenset[str], by: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces each text by its content terms, joined by blanks; for 'records' each term once. Rows without any drop out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, counts = None, None, defaultdict(int)
-        groups, sizes, terms, ns = [], [], [], []
         for batch in batches:
-            for kind, gid, shard, record, text in zip(*[batch.column(c).to_pylist() for c in ("kind", "gid", "shard", "record", "text")]):
-                if (kind, gid, shard) != key:
-                    if counts:
-                        groups.append(key[:2])
-                        sizes.append(len(counts))
-                        terms += counts
-                        ns += counts.values()
-                        counts = defaultdict(int)
-                        if len(terms) > 100_000:
-                            yield batch_of(groups, sizes, terms, ns)
-                            groups, sizes, terms, ns = [], [], [], []
-                    key, last = (kind, gid, shard), None
-                if record == last or not text:
-                    continue
-                last = record
+            found = []
+            for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                for w in words if by == "occurrences" else set(words):
-                    if w not in stop:
-                        counts[w] += 1
-        if counts:
-            groups.append(key[:2])
-            sizes.append(len(counts))
-            terms += counts
-            ns += counts.values()
-        if groups:
-            yield batch_of(groups, sizes, terms, ns)
+                found.append(" ".join(sorted(set(words) - stop) if by == "records" else [w for w in words if w not in stop]) or None)
+            every = pa.RecordBatch.from_arrays([batch.column("groups"), batch.column("record"), pa.array(found, pa.string())], ["groups", "record", "terms"])
+            yield every.filter(every.column("terms").is_valid())
 
     return run
+
+
+def _count_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the terms of each (kind, gid, part) of a sorted partition, each record once."""
+
+    def batch_of(groups: list[tuple[str, str]], sizes: list[int], terms: list[str], ns: list[int]) -> pa.RecordBatch:
+        each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(ns, pa.int64())], ["term", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), each)
+        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), lists], ["kind", "gid", "terms"])
+
+    key, last, counts = None, None, Counter()
+    groups, sizes, terms, ns = [], [], [], []
+
+    def close() -> None:
+        groups.append(key[:2])
+        sizes.append(len(counts))
+        terms.extend(counts)
+        ns.extend(counts.values())
+
+    for batch in batches:
+        for kind, gid, part, record, words in zip(*[batch.column(c).to_pylist() for c in ("kind", "gid", "__part", "record", "terms")]):
+            if (kind, gid, part) != key:
+                if counts:
+                    close()
+                    counts = Counter()
+                    if len(terms) > 100_000:
+                        yield batch_of(groups, sizes, terms, ns)
+                        groups, sizes, terms, ns = [], [], [], []
+                key, last = (kind, gid, part), None
+            if record != last:
+                last = record
+                counts.update(words.split(" "))
+    if counts:
+        close()
+    if groups:
+        yield batch_of(groups, sizes, terms, ns)

@@ -81,6 +81,16 @@ def test_source_below_its_share_is_repeated_to_the_cap(spark):
     assert {r.source for r in plan.where("NOT can_reach").collect()} == {"a"}
 
 
+def test_the_mix_shows_which_sources_fall_short(spark):
+    data = [(i, "a", 10) for i in range(20)] + [(100 + i, "b", 50) for i in range(40)] + [(200, "empty", 0), (300, "exact", 100)]
+    goal = [("a", 0.5, 2), ("b", 0.3, 1), ("empty", 0.05, 9), ("none", 0.05, 1), ("zero", 0.0, 1), ("exact", 100 / 2300, 1)]
+    df = table(spark, data, S)
+    plan = mixing.mix_plan(df, table(spark, goal, T))
+    report = mixing.mix_report(mixing.mix(df, plan, block=7), plan)
+    short = {r.source for r in report.where("exhausted AND falls_short").collect()}
+    assert short == {r.source for r in plan.where("NOT can_reach").collect()} == {"a", "empty", "none"}
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 

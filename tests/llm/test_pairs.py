@@ -79,7 +79,19 @@ def test_threshold_is_met_exactly_and_small_sets_are_out(spark):
     found, members = similar_sets.similar_sets(table(spark, pairs, SCHEMA))
     assert rows(similar_sets.expanded(found, members)) == [("a", "b", 0.5)]
     with pytest.raises(ValueError):
-        similar_sets.similar_sets(table(spark, pairs, SCHEMA), threshold=0.3)
+        similar_sets.similar_sets(table(spark, pairs, SCHEMA), threshold=0.0)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.35])
+def test_lower_thresholds_follow_more_tokens(spark, threshold):
+    pairs = audiences(4, 120)
+    found, members = similar_sets.similar_sets(table(spark, pairs, SCHEMA), threshold, leaf=20)
+    got, want = set(rows(similar_sets.expanded(found, members), "k1", "k2")), brute_similar(pairs, threshold)
+    assert got <= want and len(want) > 100 and len(want - got) <= 0.005 * len(want)
+
+
+def test_sketch_filter_misses_as_rarely_as_stated():
+    assert [similar_sets.least_equal(t) for t in (0.2, 0.5, 0.8, 1.0)] == [0, 5, 15, 32]
 
 
 def test_two_tables(spark):

@@ -11,13 +11,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-import rillstone.plans.cut  # noqa: F401  (functions of the package travel with the job)
 from rillstone.llm.ordinal import OrdinalModel, Rows
+from rillstone.plans.cut import cut
 
-# Grades of the labels in order of severity; letters that look alike; digits and signs in place of letters.
+# Grades of the labels, in the order in which the labels name ever graver content as this engine ranks it, so
+# that one scale serves review (insults below attacks on groups, these below explicit content); letters that look alike; digits and signs in place of letters.
 GRADES = {"none": 0, "abusive": 1, "hateful": 2, "sexual": 3}
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁɡαεικνορτυχ", "abekmhopctyxijsdgaeiknoptux")
 SIGNS = str.maketrans("013457@$!|+€", "oieastasiite")
@@ -30,13 +30,26 @@ ROUNDS = (60, 40, 40, 100)
 DOUBT = 0.1
 LEAST_LIMIT = 0.25
 MOST_CHARS = 40_000_000
-MOST_KNOWN = 100_000
+TEXTS_AT_ONCE = 250
+BREAK = "\0"
 TAG = re.compile(r"<!--.*?-->|<[/!?]?[a-zA-Z][^<>]*>", re.S)
 END = re.compile(r"(?<=[.!?;:])\s+|[\n|]+|(?<=[,])\s+(?=(?:and|but|so|then|plus)\b)")
-TOKEN = re.compile(r"[^\W_]+(?:[@$!*|+€.'-]+[^\W_]+)*|[@$*|][^\W_@$*|]+")
+TOKEN = re.compile(r"[^\W_]+(?:[@$!*|+€.'-]+[^\W_]+)*|[@$*|][^\W_@$*|]+|\0")
 SPACED = re.compile(r"\b(?:[^\W\d_][ .*_-]){2,}[^\W\d_]\b")
 
 
+class _Letters(dict):
+    """What becomes of a character: marks and format characters vanish, look-alike letters are read as Latin ones."""
+
+    def __missing__(self, c: int) -> int | str | None:
+        gone = unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")
+        self[c] = found = None if gone else LOOKALIKES.get(c, c)
+        return found
+
+
+_LETTERS = _Letters()
+
+
 def fold(text: str) -> str:
     """Text without tags and entities, in lower case, with marks, format characters and look-alike letters undone."""
     if "<" in text:
@@ -45,102 +58,146 @@ def fold(text: str) -> str:
         text = html.unescape(text)
     text = text.lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Me", "Cf")).translate(LOOKALIKES)
-    return text
+        text = unicodedata.normalize("NFKD", text).translate(_LETTERS)
+    return text.replace(BREAK, " ")
 
 
-_PLAIN: dict[str, str] = {}
-
-
-def _plain(token: str) -> str:
+def plain(token: str) -> str:
     """A token as a word: signs and digits within it read as letters, masked letters as one star, long runs of a letter as one."""
-    found = _PLAIN.get(token)
-    if found is None:
-        if len(_PLAIN) > MOST_KNOWN:
-            _PLAIN.clear()
-        if "*" in token:
-            found = re.sub(r"\*+", "*", token.strip(".'-!"))
-        else:
-            found = token
-            if not token.isalpha():
-                bare = re.sub(r"[.'-]", "", token)
-                found = bare if bare.isdigit() else bare.translate(SIGNS)
-            found = re.sub(r"(.)\1{2,}", r"\1", found)
-        _PLAIN[token] = found
-    return found
+    if "*" in token:
+        return re.sub(r"\*+", "*", token.strip(".'-!"))
+    if not token.isalpha():
+        bare = re.sub(r"[.'-]", "", token)
+        token = bare if bare.isdigit() else bare.translate(SIGNS)
+    return re.sub(r"(.)\1{2,}", r"\1", token)
 
 
-def passages(text: str | None) -> list[list[str]]:
-    """Words of each passage (sentence or part of one). Letters written apart are joined."""
+def pieces(text: str | None) -> list[str]:
+    """Tokens of a text in order, with `BREAK` between its passages (sentences or parts of one). Letters written apart are joined."""
     if not text:
         return []
     text = SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m.group()), fold(text))
-    found = ([_plain(t) for t in TOKEN.findall(part)] for part in END.split(text))
+    return TOKEN.findall(END.sub(BREAK, text))
+
+
+def passages(text: str | None) -> list[list[str]]:
+    """Words of each passage."""
+    found: list[list[str]] = [[]]
+    for token in pieces(text):
+        if token == BREAK:
+            found.append([])
+        else:
+            found[-1].append(plain(token))
     return [words for words in found if words]
 
 
-_WORDS: dict[str, tuple[int, list[int]]] = {}
+class Lexicon(dict):
+    """Numbers of tokens as they come up, with the code of each one's word and the word's own features.
 
+    A word has itself and its four-letter pieces as features. The break between passages has number 0. `BOUND` limits
+    what is remembered between batches, not what is read.
+    """
+
+    BOUND = 100_000
 
-def _word(word: str) -> tuple[int, list[int]]:
-    """Code of a word, and its own features: the word and its four-letter pieces."""
-    found = _WORDS.get(word)
-    if found is None:
-        if len(_WORDS) > MOST_KNOWN:
-            _WORDS.clear()
+    def __init__(self):
+        super().__init__({BREAK: 0})
+        self.codes, self.starts, self.own = [0], [0, 0], []
+        self._kept = [np.zeros(0, np.int64)] * 3
+
+    def arrays(self) -> list[np.ndarray]:
+        """Codes, starts of own features and own features; only what is new since the last call is converted."""
+        now = (self.codes, self.starts, self.own)
+        self._kept = [np.concatenate([k, np.array(x[len(k) :], np.int64)]) if len(x) > len(k) else k for k, x in zip(self._kept, now)]
+        return self._kept
+
+    def __missing__(self, token: str) -> int:
+        word = plain(token)
         padded = f"<{word}>"
-        pieces = ["w " + word] + [f"c {padded[i : i + 4]}" for i in range(len(padded) - 3) if len(word) > 3]
-        found = _WORDS[word] = (zlib.crc32(word.encode()), [zlib.crc32(x.encode()) % FEATURES for x in pieces])
+        found = ["w " + word] + [f"c {padded[i : i + 4]}" for i in range(len(padded) - 3) if len(word) > 3]
+        self.codes.append(zlib.crc32(word.encode()))
+        self.own += [zlib.crc32(x.encode()) % FEATURES for x in found]
+        self.starts.append(len(self.own))
+        self[token] = at = len(self.codes) - 1
+        return at
+
+
+class Batch:
+    """The passages of some texts as arrays: tokens by number, the passage of each token, and the text of each passage."""
+
+    def __init__(self, texts: list[str | None], lexicon: Lexicon):
+        tokens, ends = [], []
+        for text in texts:
+            tokens += pieces(text)
+            tokens.append(BREAK)
+            ends.append(len(tokens))
+        ids = np.fromiter(map(lexicon.__getitem__, tokens), np.int64, len(tokens))
+        kept = np.flatnonzero(ids)
+        passage = np.cumsum(ids == 0)[kept]
+        first = np.r_[True, passage[1:] != passage[:-1]] if len(kept) else np.zeros(0, bool)
+        self.passage = np.cumsum(first) - 1
+        self.text = np.searchsorted(np.array(ends, np.int64), kept[first], "right")
+        self.ids = ids[kept]
+        self.lexicon = lexicon
+
+    def neighbours(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(passage, feature) of pairs of neighbours, of pairs with one word between, and of triples."""
+        c, p = self.lexicon.arrays()[0][self.ids], self.passage
+        near, far = np.flatnonzero(p[1:] == p[:-1]), np.flatnonzero(p[2:] == p[:-2])
+        a, b, d = c[far], c[far + 1], c[far + 2]
+        return [
+            (p[near], (c[near] * 31 + c[near + 1] * 17 + 1) % FEATURES),
+            (p[far], (a * 37 + d * 13 + 2) % FEATURES),
+            (p[far], (a * 41 + b * 29 + d * 7 + 3) % FEATURES),
+        ]
+
+    def features(self) -> list[np.ndarray]:
+        """Hashed features of each passage, as often as they occur: those of its words and of their neighbourhoods."""
+        _, starts, own = self.lexicon.arrays()
+        n = starts[self.ids + 1] - starts[self.ids]
+        at = np.repeat(starts[self.ids] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        every = [(np.repeat(self.passage, n), own[at]), *self.neighbours()]
+        passage, feature = (np.concatenate(x) for x in zip(*every))
+        order = np.argsort(passage, kind="stable")
+        return np.split(feature[order].astype(np.int32), np.cumsum(np.bincount(passage, minlength=len(self.text)))[:-1]) if len(self.text) else []
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """The score `Rows.dot` gives the features of each passage."""
+        _, starts, own = self.lexicon.arrays()
+        sums = np.r_[0.0, np.cumsum(weights[own])]
+        word, length = sums[starts[1:]] - sums[starts[:-1]], (starts[1:] - starts[:-1]).astype(float)
+        size = len(self.text)
+        total = np.bincount(self.passage, word[self.ids], size)
+        count = np.bincount(self.passage, length[self.ids], size)
+        for passage, feature in self.neighbours():
+            total += np.bincount(passage, weights[feature], size)
+            count += np.bincount(passage, minlength=size)
+        return total / np.sqrt(np.maximum(count, Rows.SHORT))
+
+
+def document_features(texts: list[str | None]) -> list[list[np.ndarray]]:
+    """The features of each passage of each text."""
+    lexicon = Lexicon()
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        batch = Batch(texts[at : at + TEXTS_AT_ONCE], lexicon)
+        for text, row in zip(batch.text.tolist(), batch.features()):
+            found[at + text].append(row)
     return found
 
 
-def _neighbours(codes: list[int]) -> list[int]:
-    """Hashed pairs and triples of neighbours, and pairs with one word between."""
-    pairs = [(b * 31 + c * 17 + 1) % FEATURES for b, c in zip(codes, codes[1:])]
-    pairs += [(a * 37 + c * 13 + 2) % FEATURES for a, c in zip(codes, codes[2:])]
-    pairs += [(a * 41 + b * 29 + c * 7 + 3) % FEATURES for a, b, c in zip(codes, codes[1:], codes[2:])]
-    return pairs
-
-
-def features(words: list[str]) -> np.ndarray:
-    """Hashed features of a passage, as often as they occur: those of its words and of their neighbourhoods."""
-    known = [_word(w) for w in words]
-    found = _neighbours([code for code, _ in known])
-    for _, own in known:
-        found += own
-    return np.array(found, np.int32)
-
-
-def passage_score(words: list[str], weights: list[float], known: dict[str, tuple[int, float, int]]) -> float:
-    """The score `Rows.dot` gives the features of a passage; `known` keeps the part of each word for a given model."""
-    total, length, codes = 0.0, 0, []
-    for w in words:
-        part = known.get(w)
-        if part is None:
-            if len(known) > MOST_KNOWN:
-                known.clear()
-            code, own = _word(w)
-            part = known[w] = (code, sum(map(weights.__getitem__, own)), len(own))
-        codes.append(part[0])
-        total += part[1]
-        length += part[2]
-    near = _neighbours(codes)
-    length += len(near)
-    return (total + sum(map(weights.__getitem__, near))) / max(length, Rows.SHORT) ** 0.5
-
-
 class PassageModel:
     """The grade of a document is that of its worst passage; which one that is, is learned with the weights.
 
     Turn by turn: of a graded document the passage with the highest score is an example of its grade; passages of documents
-    graded 0 are examples of grade 0, at most `MOST_PASSAGES` of them: one half spread evenly, the other those with the
+    graded 0 are examples of grade 0, at most `most_passages` of them: one half spread evenly, the other those with the
     highest scores so far. The first scores are log-odds of features between graded and other documents. Examples that the
     model of the turn before finds very unlikely are taken for wrong labels and left out, at most half of the graded ones.
     """
 
-    def __init__(self):
+    def __init__(self, most_passages: int = MOST_PASSAGES, least_limit: float = LEAST_LIMIT):
         self.model = OrdinalModel(FEATURES, len(GRADES))
-        self.limit = 2.0
+        self.limit, self.most_passages, self.least_limit = 2.0, most_passages, least_limit
 
     def fit(self, rows: list[list[np.ndarray]], grade: np.ndarray) -> "PassageModel":
         """Learns the weights from all rows, and the limit from a model of three quarters of them scored on the rest."""
@@ -148,7 +205,7 @@ class PassageModel:
             return self
         held = np.arange(len(rows)) % 4 == 3
         try_on = [r for r, h in zip(rows, held) if h]
-        trial = PassageModel()
+        trial = PassageModel(self.most_passages, self.least_limit)
         trial._learn([r for r, h in zip(rows, held) if not h], grade[~held])
         chance, bad = trial.chances(try_on), grade[held] > 0
         order = np.argsort(-chance, kind="stable")
@@ -157,7 +214,7 @@ class PassageModel:
         if len(f1):
             best = int(np.argmax(f1))
             after = chance[order[best + 1]] if best + 1 < len(order) else 0.0
-            self.limit = max(LEAST_LIMIT, float((chance[order[best]] + after) / 2))
+            self.limit = max(self.least_limit, float((chance[order[best]] + after) / 2))
         self._learn(rows, grade)
         return self
 
@@ -174,7 +231,7 @@ class PassageModel:
         odds = np.log((pos + 0.5) / ((grade > 0).sum() + 1)) - np.log((neg + 0.5) / ((grade == 0).sum() + 1))
         z = x.dot(np.where((pos + neg >= 3) & (odds > 1.0), odds, 0.0))
         clean = np.flatnonzero(grade[doc_of] == 0)
-        half = MOST_PASSAGES // 2
+        half = self.most_passages // 2
         for turn, rounds in enumerate(ROUNDS):
             best = self._best(z, doc_of, len(rows))
             worst = best[(grade > 0) & (best >= 0)]
@@ -209,27 +266,38 @@ class PassageModel:
         return np.where(np.isfinite(z), self.model.at_least_one(z), 0.0)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[str | None], np.ndarray]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_chars: int = MOST_CHARS) -> tuple[list[str | None], np.ndarray]:
     """Texts and grades of at most `most` labelled documents, those with the smallest hash of their id.
 
-    The texts together have at most `MOST_CHARS` characters; from the document on that exceeds it, the rest is left out. A document with several labels has the highest of their grades; null and unknown labels say nothing.
+    The texts together have at most `most_chars` characters; from the document on that exceeds it, the rest is left out. A
+    document with several labels has the highest of their grades; null and unknown labels say nothing. Repeated rows of a
+    document count once. The documents are read once.
     """
     graded = F.element_at(F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv]), F.lower(F.trim("label")))
-    one = labels.where(F.lower(F.trim("label")).isin(list(GRADES))).groupBy("doc_id").agg(F.max(graded).alias("grade"))
+    one = labels.where(F.lower(F.trim("label")).isin(list(GRADES)) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(graded).alias("grade"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    order = W.orderBy(F.xxhash64("doc_id"), "doc_id")
     found = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    sized = found.select("doc_id", "grade", F.char_length("text").alias("chars"))
-    within = sized.withColumn("before", F.sum("chars").over(order)).where(F.col("before") <= MOST_CHARS).select("doc_id", "grade")
-    rows = documents.select("doc_id", "text").join(F.broadcast(within), "doc_id").collect()
+    sample = cut(found.dropDuplicates(["doc_id"]).withColumn("chars", F.char_length("text")), "sample")
+    within, total = [], 0
+    for r in sample.select("doc_id", "chars", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
+        total += r.chars
+        if total > most_chars:
+            break
+        within.append((r.doc_id,))
+    kept = sample.sparkSession.createDataFrame(within, sample.select("doc_id").schema)
+    rows = sample.join(F.broadcast(kept), "doc_id").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return [r.text for r in rows], np.array([r.grade for r in rows], np.int64)
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> PassageModel:
-    """A model of a bounded sample of the labelled documents; the bound is the parameter `most`."""
-    texts, grades = labelled_sample(documents, labels, most)
-    return PassageModel().fit([[features(p) for p in passages(t)] for t in texts], grades)
+def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_chars: int = MOST_CHARS, most_passages: int = MOST_PASSAGES, least_limit: float = LEAST_LIMIT) -> PassageModel:
+    """A model of a bounded sample of the labelled documents: at most `most` of them with `most_chars` characters together.
+
+    `most_passages` bounds the examples of grade 0 in a turn of learning, and `least_limit` is the lowest chance from which
+    on a document comes out: with few labels the chance learned from held-out ones may be set by a single wrong label.
+    """
+    texts, grades = labelled_sample(documents, labels, most, most_chars)
+    return PassageModel(most_passages, least_limit).fit(document_features(texts), grades)
 
 
 def abuse_scores(documents: DataFrame, model: PassageModel, *keep: str) -> DataFrame:
@@ -255,12 +323,15 @@ def _scorer(sent, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]],
         model.cuts = cuts
         table = np.zeros(FEATURES)
         table[used] = weights
-        table, known = table.tolist(), {}
+        lexicon = Lexicon()
         for batch in batches:
-            z = []
-            for text in batch.column("text").to_pylist():
-                z.append(max((passage_score(words, table, known) for words in passages(text)), default=-np.inf))
-            z = np.array(z, float)
+            texts = batch.column("text").to_pylist()
+            z = np.full(len(texts), -np.inf)
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                found = Batch(texts[at : at + TEXTS_AT_ONCE], lexicon)
+                np.maximum.at(z, found.text + at, found.scores(table))
+                if len(lexicon) > Lexicon.BOUND:
+                    lexicon = Lexicon()
             some = np.isfinite(z)
             severity, chance = np.zeros(len(z)), np.zeros(len(z))
             severity[some], chance[some] = model.severity(z[some]), model.at_least_one(z[some])

@@ -1,7 +1,10 @@
 import random
+import zlib
+from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rillstone.llm import abuse
@@ -9,7 +12,7 @@ from rillstone.llm.ordinal import OrdinalModel, Rows, sigmoid
 
 from ..conftest import rows, table
 
-DATA = Path("/root/testdata/sf0.1")
+DATA = Path("/root/testdata/check_l")
 D, L = "doc_id long, text string, source string, note string", "doc_id long, label string, annotator string"
 
 
@@ -58,12 +61,34 @@ def test_passages(text, want):
     assert abuse.passages(text) == want
 
 
-def test_passage_score_is_that_of_the_rows():
+def word_features(words):
+    """Features of one passage, one by one."""
+    code = [zlib.crc32(w.encode()) for w in words]
+    found = [(b * 31 + c * 17 + 1) for b, c in zip(code, code[1:])] + [(a * 37 + c * 13 + 2) for a, c in zip(code, code[2:])]
+    found += [(a * 41 + b * 29 + c * 7 + 3) for a, b, c in zip(code, code[1:], code[2:])]
+    for w in words:
+        padded = f"<{w}>"
+        found += [zlib.crc32(("w " + w).encode())] + [zlib.crc32(f"c {padded[i : i + 4]}".encode()) for i in range(len(padded) - 3) if len(w) > 3]
+    return sorted(x % abuse.FEATURES for x in found)
+
+
+TEXTS = ["One. Two words! Go away, you; go away", None, "", "...", "1d10t i d i o t\x00x", "longer words here " * 30 + "\n\nend", "Ünïcode tеxt. 42"]
+
+
+def test_features_of_a_batch_are_those_of_its_passages():
+    got = abuse.document_features(TEXTS)
+    assert [[sorted(p.tolist()) for p in doc] for doc in got] == [[word_features(p) for p in abuse.passages(t)] for t in TEXTS]
+    assert abuse.document_features([]) == [] and abuse.document_features([None]) == [[]]
+
+
+def test_scores_of_a_batch_are_those_of_the_rows():
     weights = np.random.default_rng(2).normal(size=abuse.FEATURES)
-    known = {}
-    for words in (["one"], ["a", "b"], ["go", "away", "you", "go", "away"], ["longer", "words", "here"] * 20):
-        want = Rows([abuse.features(words)]).dot(weights)[0]
-        assert abuse.passage_score(words, weights.tolist(), known) == pytest.approx(want)
+    lexicon = abuse.Lexicon()
+    abuse.Batch(["seen before", "words"], lexicon)
+    batch = abuse.Batch(TEXTS, lexicon)
+    flat = [np.array(word_features(p), np.int32) for t in TEXTS for p in abuse.passages(t)]
+    assert batch.scores(weights) == pytest.approx(Rows(flat).dot(weights))
+    assert batch.text.tolist() == [i for i, t in enumerate(TEXTS) for _ in abuse.passages(t)]
 
 
 def synthetic(n, seed=0):
@@ -114,14 +139,17 @@ def test_sample_is_bounded(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
-def test_held_out_accuracy(spark):
-    """Against raters who are wrong now and then: their labels on a third of the documents that the model hasn't seen."""
-    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/doc_label.parquet")
-    texts, grades = abuse.labelled_sample(docs, labels)
-    held = np.arange(len(texts)) % 3 == 0
-    x = [[abuse.features(p) for p in abuse.passages(t)] for t in texts]
-    model = abuse.PassageModel().fit([r for r, h in zip(x, held) if not h], grades[~held])
-    chance, bad = model.chances([r for r, h in zip(x, held) if h]), grades[held] > 0
-    order = np.argsort(-chance, kind="stable")
-    top = bad[order][: bad.sum() // 2]
-    assert top.mean() >= 0.7
+def test_held_out_accuracy():
+    """On documents the model hasn't seen and two raters judge alike; a single rater is wrong now and then."""
+    text = pd.read_parquet(f"{DATA}/documents.parquet").set_index("doc_id").text
+    judged = defaultdict(list)
+    for r in pd.read_parquet(f"{DATA}/doc_label.parquet").itertuples():
+        label = r.label.strip().lower() if isinstance(r.label, str) else ""
+        if label in abuse.GRADES and isinstance(text[r.doc_id], str):
+            judged[r.doc_id].append(abuse.GRADES[label])
+    held = {i: g[0] for i, g in judged.items() if len(g) > 1 and len(set(g)) == 1}
+    seen = [i for i in judged if i not in held][:5000]
+    model = abuse.PassageModel().fit(abuse.document_features(text[seen].tolist()), np.array([max(judged[i]) for i in seen]))
+    flagged = model.chances(abuse.document_features(text[list(held)].tolist())) >= model.limit
+    bad = np.array(list(held.values())) > 0
+    assert bad.sum() > 300 and (bad & flagged).sum() >= 0.9 * bad.sum() and (bad & flagged).sum() >= 0.9 * flagged.sum()

@@ -10,18 +10,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import rillstone.plans.cut  # noqa: F401  (functions of the package travel with the job)
+from rillstone.plans.cut import cut
+from rillstone.plans.spread import hot_groups, repeat, split
 
 INLINE_TAG = re.compile(r"</?(?:a|abbr|b|big|cite|code|em|font|i|mark|small|span|strong|sub|sup|u|wbr)(?:\s[^<>]*)?/?>", re.I)
 TAG = re.compile(r"<!--.*?-->|<[/!?]?[a-zA-Z][^<>]*>", re.S)
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 WORD = re.compile(r"[^\W_]+")
-BLOCK_CHARS = 5_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-UNKNOWN = 0
+PROBES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
+BITS_PER_WINDOW = 64
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+SEEDS_PER_TASK = 10_000
+MOST_KNOWN = 200_000
+BITMAP = 1 << 15
+
+
+class _Unmarked(dict):
+    """Combining marks and format characters vanish, other characters stay."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = found = None if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me", "Cf") else c
+        return found
+
+
+_UNMARKED = _Unmarked()
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -37,8 +54,15 @@ def plain_words(text: str | None) -> list[str]:
         text = html.unescape(text)
     if text.isascii():
         return ASCII_WORD.findall(text.lower())
-    text = unicodedata.normalize("NFKD", text)
-    return WORD.findall("".join(c for c in text if unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cf")).lower())
+    return WORD.findall(unicodedata.normalize("NFKD", text).translate(_UNMARKED).lower())
+
+
+class _Codes(dict):
+    """64-bit codes of words; what is remembered is bounded between batches."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode())
+        return found
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -50,6 +74,12 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of a filter of `bits` (a power of two) that stand for each hash."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    return [(hashes * odd) >> shift for odd in PROBES]
+
+
 def tile(hits: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling from equal windows (i, j): tiles (start in document, start in item, length).
 
@@ -91,91 +121,112 @@ def tile(hits: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
     return tiles
 
 
-class ItemIndex:
-    """Word codes and window hashes of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int):
-        self.width, self.vocabulary = width, {}
-        self.codes: dict[int, np.ndarray] = {}
-        hashes, owners, places = [], [], []
-        for item, text in items:
-            words = plain_words(text)
-            codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            self.codes[item] = codes
-            h = window_hashes(codes, width)
-            hashes.append(h)
-            owners.append(np.full(len(h), item, np.int64))
-            places.append(np.arange(len(h)))
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.hashes = every[order]
-        self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, np.int64)
-        self.places = np.concatenate(places)[order] if places else np.zeros(0, np.int64)
-
-    def tiles(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(text, item, tiles) for each text of the list and each item it shares a window with."""
-        if not len(self.hashes):
-            return
-        get = self.vocabulary.get
-        codes, starts = [], []
-        for text in texts:
-            starts.append(len(codes))
-            codes += [get(w, UNKNOWN) for w in plain_words(text)]
-            codes.append(UNKNOWN)
-        every = np.array(codes, np.int64)
-        h = window_hashes(every, self.width)
-        known = np.r_[0, np.cumsum(every != UNKNOWN)]
-        whole = np.flatnonzero(known[self.width :] - known[: -self.width] == self.width) if len(h) else np.zeros(0, np.int64)
-        low = np.searchsorted(self.hashes, h[whole], "left")
-        high = np.searchsorted(self.hashes, h[whole], "right")
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        text_of = np.searchsorted(starts, whole, "right") - 1
-        for k in np.flatnonzero(high > low):
-            at, doc = int(whole[k]), int(text_of[k])
-            for m in range(low[k], high[k]):
-                item, j = int(self.owners[m]), int(self.places[m])
-                if np.array_equal(every[at : at + self.width], self.codes[item][j : j + self.width]):
-                    found.setdefault((doc, item), []).append((at - starts[doc], j))
-        for (doc, item), hits in found.items():
-            yield doc, item, tile(hits, self.width)
-
-
-def leaks(documents: DataFrame, items: DataFrame, least_words: int = 12, block_chars: int = BLOCK_CHARS) -> DataFrame:
+WINDOWS = "h long, w string, id long, text_hash long, at int, words int"
+
+
+def _windows(width: int, bitmap=None, bits: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of `WINDOWS` for the texts (id, text_hash, text): every window, or those whose bits are all set in `bitmap`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Codes()
+        field = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
+        for batch in batches:
+            texts = [plain_words(t) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            flat = [w for t in texts for w in t]
+            h = window_hashes(np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat)), width)
+            ends = np.repeat(np.cumsum(sizes), sizes)[: len(h)]
+            ok = np.arange(len(h)) + width <= ends
+            if field is not None:
+                for slot in slots(h, bits):
+                    ok &= (field[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            at = np.flatnonzero(ok)
+            text = np.searchsorted(np.cumsum(sizes), at, "right")
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_hash"))
+            columns = [
+                pa.array(h[at].view(np.int64)), pa.array([" ".join(flat[i : i + width]) for i in at.tolist()], pa.string()), pa.array(ids[text], pa.int64()),
+                pa.array(hashes[text], pa.int64()), pa.array((at - (np.cumsum(sizes) - sizes)[text]).astype(np.int32)), pa.array(sizes[text].astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "w", "id", "text_hash", "at", "words"])
+            if len(known) > MOST_KNOWN:
+                known = _Codes()
+
+    return run
+
+
+def _bitmap(windows: DataFrame, bits: int) -> bytes:
+    """The filter of all windows: built in pieces where they are, at most `MOST_BITS` bits reach the driver."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots(h, bits)).astype(np.int64))], ["slot"])
+
+    slot = windows.select("h").mapInArrow(places, "slot long")
+    pieces = slot.groupBy((F.col("slot").bitwiseAND(~(BITMAP - 1)) / BITMAP).cast("int").alias("piece")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(BITMAP - 1)).alias("bits"))
+    field = bytearray(bits // 8)
+    for r in pieces.collect():
+        field[r.piece * BITMAP // 8 : (r.piece + 1) * BITMAP // 8] = r.bits
+    return bytes(field)
+
+
+def leaks(documents: DataFrame, items: DataFrame, least_words: int = 12, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, item_id, tiles, longest, covered, coverage): documents against the held-out items they share words with.
 
     `documents` has doc_id and text, `items` item_id and text. Tiles are runs of at least `least_words` words, so a pair
     comes out if and only if the document contains as many consecutive words of the item; `coverage` is the share of the item's
-    words under tiles, whatever their order. Documents are read once and not shuffled. The items go out in blocks of about
-    `block_chars` characters, each against all documents. Null and empty texts and items of fewer words match nothing.
+    words under tiles, whatever their order. A pair has one row: of an id with several texts, the pair of texts with the most
+    covered words counts, and repeated rows count once. Null and empty texts and items of fewer words match nothing.
+
+    Documents are read once, whatever the number of items, and aren't shuffled: a filter of the items' windows, of at most
+    `most_bits` bits, tells which of their windows move on. The windows of both sides are joined by hash and words, so what
+    the filter lets through in vain is lost there. Windows that many documents hold are joined in parts. Tiling sees one pair at a time.
     """
     spark = documents.sparkSession
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    found = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(ItemIndex(sorted((r.item_id, r.text) for r in part.collect()), least_words))
-        docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        found.append(docs.mapInArrow(_tiler(index), "doc_id long, item_id long, tiles int, longest int, covered int, coverage double"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every
-
-
-def _tiler(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    side = lambda df, i: df.where(F.col(i).isNotNull() & F.col("text").isNotNull()).select(F.col(i).cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    theirs = cut(side(items, "item_id").distinct().mapInArrow(_windows(least_words), WINDOWS), "windows")
+    bits = LEAST_BITS
+    while bits < min(most_bits, theirs.count() * BITS_PER_WINDOW):
+        bits *= 2
+    field = spark.sparkContext.broadcast(_bitmap(theirs, bits))
+    mine = cut(side(documents, "doc_id").mapInArrow(_windows(least_words, field, bits), WINDOWS), "seeds")
+    hot = hot_groups(mine.groupBy("h").agg(F.count(F.lit(1)).alias("n")), ["h"], "n", SEEDS_PER_TASK, mine.count())
+    left = split(mine.select("h", "w", F.col("id").alias("doc_id"), F.col("text_hash").alias("doc_text"), F.col("at").alias("i")), ["h"], hot, "doc_id", "doc_text")
+    right = repeat(theirs.select("h", "w", F.col("id").alias("item_id"), F.col("text_hash").alias("item_text"), F.col("at").alias("j"), "words"), ["h"], hot)
+    pair = ["doc_id", "doc_text", "item_id", "item_text"]
+    hits = left.join(right, ["h", "w", "__part"]).select(*pair, "words", "i", "j")
+    placed = hits.repartition(*pair).sortWithinPartitions(*pair, "i", "j")
+    found = placed.mapInArrow(_tiler(least_words), "doc_id long, item_id long, tiles int, longest int, covered int, words int")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "longest", "tiles", "words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.tiles", "b.longest", "b.covered", (F.col("b.covered") / F.col("b.words")).alias("coverage"))
+
+
+def _tiler(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tiles of each pair of texts, from its sorted hits."""
+    names = ("doc_id", "item_id", "tiles", "longest", "covered", "words")
+    kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = index.value
+        key, words, hits, rows = None, 0, [], []
+
+        def close() -> None:
+            found = tile(hits, width)
+            rows.append((key[0], key[2], len(found), max(n for _, _, n in found), sum(n for _, _, n in found), words))
+
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            rows = []
-            for doc, item, tiles in items.tiles(batch.column("text").to_pylist()):
-                covered = sum(n for _, _, n in tiles)
-                rows.append((ids[doc], item, len(tiles), max(n for _, _, n in tiles), covered, covered / len(items.codes[item])))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            names = ("doc_id", "item_id", "tiles", "longest", "covered", "coverage")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for *pair, size, i, j in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "doc_text", "item_id", "item_text", "words", "i", "j")]):
+                if pair != key:
+                    if key is not None:
+                        close()
+                    key, words, hits = pair, size, []
+                if not hits or hits[-1] != (i, j):
+                    hits.append((i, j))
+            if len(rows) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                rows = []
+        if key is not None:
+            close()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run

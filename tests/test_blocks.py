@@ -29,7 +29,7 @@ def test_blocks_lose_and_repeat_no_pair(spark, count, at_once, monkeypatch):
 
 def test_pairs_of_a_hot_member_never_meet_in_a_join(spark):
     df = table(spark, [(k, m) for k, s in some(2).items() for m in s], SCHEMA)
-    for found in (setsim.common_members(df, 3),):
+    for found in (setsim.common_members(df, 3), setsim.exact_pairs(df)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 1
 
@@ -38,3 +38,12 @@ def test_work_and_rows_decide_the_number_of_blocks():
     assert blocks.blocks_for(0, 0, 12) == 1 and blocks.blocks_for(1e5, 1000, 12) == 1
     assert blocks.blocks_for(22e6, 435_000, 12) == 5 and blocks.blocks_for(5e9, 1, 12) == 23
     assert blocks.blocks_for(1e6, 50_000_000, 12) == 100
+
+
+@pytest.mark.parametrize(("hashes", "bands"), [(6, 6), (6, 3)])
+def test_a_pair_at_the_threshold_needs_a_common_bucket(spark, hashes, bands):
+    df = table(spark, [(k, m) for k, s in some(5).items() for m in s], SCHEMA)
+    keys = setsim.band_keys(setsim.signatures(df, hashes=hashes), bands, hashes // bands)
+    near = {r[:2] for r in rows(setsim.candidates(keys))}
+    want = [r for r in rows(setsim.exact_pairs(df, 0.1)) if r[:2] in near]
+    assert 0 < len(want) and rows(setsim.lsh_pairs(df, 0.1, hashes=hashes, bands=bands)) == want

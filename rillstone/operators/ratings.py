@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.functions.similarity import jaccard, pearson_of_sums
-from rillstone.operators import setsim
+from rillstone.operators import blocks
 from rillstone.plans.cut import cut
 
 
@@ -23,19 +23,13 @@ def pearson_pairs(ratings: DataFrame, of: str, least_common: int = 3, least_jacc
     """(k1, k2, c, jac, sim), k1 < k2: Pearson over the shared members of two entities (`of` = 'item' or 'user').
 
     Entities need `least_common` members, pairs as many common ones. Means are taken over the shared members only. Pairs
-    are found as in `setsim.common_members`, without the most frequent members of each entity, and only those whose sizes
-    allow `least_jaccard`; sums are taken of these pairs.
+    are counted and summed in blocks, and only those with `least_common` and `least_jaccard` leave a task.
     """
     key, member = (of, {"item": "user", "user": "item"}[of])
     cells = cut(rating_means(ratings).where("user IS NOT NULL AND item IS NOT NULL").select(F.col(key).alias("key"), F.col(member).alias("member"), "r"), "cells")
-    rows, keys = setsim.coded(cells, least_common)
-    pairs = setsim.sharing(rows, least_common, setsim.may_reach(least_jaccard))
-    x, y = F.col("x"), F.col("y")
-    sums = {"sa": x, "sb": y, "saa": x * x, "sbb": y * y, "sab": x * y}
-    found = setsim.count_pairs(pairs, rows, *[F.sum(v).alias(k) for k, v in sums.items()]).where(F.col("c") >= least_common)
-    near = found.withColumn("jac", jaccard(F.col("c"), F.col("n1"), F.col("n2"))).where(F.col("jac") >= F.lit(float(least_jaccard)))
-    sim = pearson_of_sums(*[F.col(c) for c in ("c", *sums)])
-    return setsim.named(near.withColumn("sim", F.round(sim, 6) + F.lit(0.0)), keys, "c", "jac", "sim")
+    found = blocks.counted(*blocks.packed(cells, least_common), least_common, least_jaccard)
+    sim = pearson_of_sums(*[F.col(c) for c in ("c", *blocks.SUMS)])
+    return found.select("k1", "k2", "c", jaccard(F.col("c"), F.col("n1"), F.col("n2")).alias("jac"), (F.round(sim, 6) + F.lit(0.0)).alias("sim"))
 
 
 def item_weights(ratings: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from rillstone.operators import blocks, setsim
+from rillstone.operators import blocks, ratings, setsim
 
 from .conftest import rows, table
 
@@ -29,7 +30,8 @@ def test_blocks_lose_and_repeat_no_pair(spark, count, at_once, monkeypatch):
 
 def test_pairs_of_a_hot_member_never_meet_in_a_join(spark):
     df = table(spark, [(k, m) for k, s in some(2).items() for m in s], SCHEMA)
-    for found in (setsim.common_members(df, 3), setsim.exact_pairs(df)):
+    rated = df.select(F.col("key").alias("item"), F.col("member").alias("user"), F.lit(3.0).alias("stars"))
+    for found in (setsim.common_members(df, 3), setsim.exact_pairs(df), ratings.pearson_pairs(rated, "item")):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 1
 
@@ -40,6 +42,18 @@ def test_work_and_rows_decide_the_number_of_blocks():
     assert blocks.blocks_for(1e6, 50_000_000, 12) == 100
 
 
+@pytest.mark.parametrize("count", [1, 4])
+def test_sums_are_those_of_the_common_members(spark, count):
+    rng = random.Random(3)
+    sets = {k: {m: float(rng.randrange(1, 6)) for m in s} for k, s in some(4, 20).items()}
+    packed, _ = blocks.packed(table(spark, [(k, m, r) for k, s in sets.items() for m, r in s.items()], SCHEMA + ", r double"))
+    got = {r[:2]: r[5:] for r in rows(blocks.counted(packed, count))}
+    assert len(got) > 50
+    for (a, b), sums in got.items():
+        x, y = zip(*[(sets[a][m], sets[b][m]) for m in sets[a].keys() & sets[b].keys()])
+        assert sums == (sum(x), sum(y), sum(v * v for v in x), sum(v * v for v in y), sum(v * w for v, w in zip(x, y)))
+
+
 @pytest.mark.parametrize(("hashes", "bands"), [(6, 6), (6, 3)])
 def test_a_pair_at_the_threshold_needs_a_common_bucket(spark, hashes, bands):
     df = table(spark, [(k, m) for k, s in some(5).items() for m in s], SCHEMA)

@@ -6,6 +6,11 @@ weights that aren't stored are 0 and rank above negative ones. Predictions aren'
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +19,7 @@ from rillstone.plans.cut import cut
 from rillstone.plans.spread import ROWS, hot_groups, spread_join
 
 FIRST = 64
+AT_ONCE = 2_000_000
 
 
 def _repeated(df: DataFrame) -> DataFrame:
@@ -42,20 +48,22 @@ def _directed(weights: DataFrame, a: str, b: str, asked: DataFrame) -> DataFrame
     return needed.groupBy("mine", "other").agg(F.max("w").alias("w"))
 
 
-def predict_item_based(ratings: DataFrame, weights: DataFrame, test: DataFrame, n: int = 2) -> DataFrame:
+def predict_item_based(ratings: DataFrame, weights: DataFrame, test: DataFrame, n: int = 2, both: bool = False) -> DataFrame:
     """(user, item, stars): mean of the user's ratings of the n items most similar to the item, by weight.
 
-    Pairs whose user is unseen, or whose neighbours all have weight 0, get no row. A pair meets the stored weights of its item
-    only; what the user reviewed besides counts as places of weight 0 and needs no rows.
+    Pairs whose user is unseen, or whose neighbours all have weight 0, get no row. What the user reviewed besides the items
+    with a stored weight counts as places of weight 0 and needs no rows. `both` says that every weight is stored in both
+    directions, so that each row is needed once.
+
+    A task holds the weights of some items asked for, the pairs that ask for them and what their users reviewed. It compares
+    lists, and only the neighbours that may take a place leave it: a hot user's reviews go to a task once, not to each pair.
     """
     rated = ratings.where("stars IS NOT NULL")
     reviewed = rated.groupBy("user", F.col("item").alias("other")).agg(F.count(F.lit(1)).alias("reviews"), F.avg("stars").alias("r"))
     totals = rated.groupBy("user").agg(F.count(F.lit(1)).alias("all_reviews"))
-    stored = _directed(weights, "b1", "b2", test.select("item")).where("w <> 0").withColumnRenamed("mine", "item")
-    near = test.join(stored, "item").join(reviewed, ["user", "other"]).join(totals, "user")
-    pair = W.partitionBy("user", "item")
-    zeros = F.col("all_reviews") - F.sum("reviews").over(pair)
-    order = pair.orderBy(F.col("w").desc(), "other")
+    near = _near(test, reviewed, weights, n, both).join(totals, "user")
+    zeros = F.col("all_reviews") - F.col("known")
+    order = W.partitionBy("user", "item").orderBy(F.col("w").desc(), "other")
     taken = near.withColumn("taken", _places(order, n, zeros)).where("taken > 0")
     found = taken.groupBy("user", "item", "times").agg(
         F.sum(F.col("r") * F.col("w") * F.col("taken")).alias("top"), F.sum(F.abs("w") * F.col("taken")).alias("under")
@@ -63,6 +71,89 @@ def predict_item_based(ratings: DataFrame, weights: DataFrame, test: DataFrame,
     return _repeated(found.select("user", "item", "times", F.round(F.col("top") / F.col("under"), 6).alias("stars")))
 
 
+def _near(test: DataFrame, reviewed: DataFrame, weights: DataFrame, n: int, both: bool) -> DataFrame:
+    """(user, item, times, other, w, reviews, r, known) of the first neighbours by weight of each test pair, as many as hold n
+    reviews; `known` are the reviews of all its neighbours with a weight."""
+    tasks = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(tasks)).cast("int").alias("task")
+    part = lambda df, kind, a, b, x, k, task: df.select(task, F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), x.cast("double").alias("x"), k.cast("long").alias("k"))
+    none = F.lit(None)
+    stored = weights.where("sim <> 0 AND b1 IS NOT NULL AND b2 IS NOT NULL")
+    one = part(stored, 0, "b1", "b2", F.col("sim"), none, at("b1"))
+    every = one if both else one.unionByName(part(stored, 0, "b2", "b1", F.col("sim"), none, at("b2")))
+    asked = test.select("user", at("item")).distinct()
+    theirs = part(reviewed.join(asked, "user"), 1, "user", "other", F.col("r"), F.col("reviews"), F.col("task"))
+    rows = every.unionByName(theirs).unionByName(part(test, 2, "user", "item", none, F.col("times"), at("item")))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            yield from _first_neighbours(pa.Table.from_batches(held), n)
+
+    schema = "user string, item string, times long, other string, w double, reviews long, r double, known long"
+    return rows.repartitionById(tasks, F.col("task")).drop("task").mapInArrow(first, schema)
+
+
+def _first_neighbours(t: pa.Table, n: int, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of `_near` from the weights, reviews and pairs of a task: kinds 0, 1 and 2."""
+    kinds = [t.filter(pc.equal(t.column("kind"), k)) for k in range(3)]
+    if not all(len(x) for x in kinds):
+        return
+    del t
+    (item, other, w), (reviewer, seen, r), (user, wanted, _) = ([_whole(x.column(c)) for c in ("a", "b", "x")] for x in kinds)
+    reviews, times = (x.column("k").to_numpy() for x in kinds[1:])
+    items, users = wanted.unique(), user.unique()
+    stored, of_item = _places_in(items, item)
+    others = other.filter(pa.array(stored)).unique()
+    others = others.take(pc.sort_indices(others))
+    width = len(others)
+    keys = of_item * width + _places_in(others, other.filter(pa.array(stored)))[1]
+    w = w.to_numpy()[stored]
+    order = np.lexsort((w, keys))
+    keys, w = keys[order], w[order]
+    last = np.r_[keys[1:] != keys[:-1], True] if len(keys) else np.zeros(0, bool)  # the larger one where a weight is stored twice
+    keys, w = keys[last], w[last]
+    met, what = _places_in(others, seen)
+    known, who = _places_in(users, reviewer.filter(pa.array(met)))
+    what, r, reviews = what[known], r.to_numpy()[met][known], reviews[met][known]
+    order = np.argsort(who, kind="stable")
+    what, r, reviews = what[order], r[order], reviews[order]
+    length = np.bincount(who, minlength=len(users))
+    start = np.cumsum(length) - length
+    asker, of = _places_in(users, user)[1], _places_in(items, wanted)[1]
+    done = np.cumsum(length[asker])
+    at = 0
+    while at < len(asker) and len(keys):
+        to = max(int(np.searchsorted(done, (done[at - 1] if at else 0) + at_once, "right")), at + 1)
+        size = length[asker[at:to]]
+        entry = np.repeat(start[asker[at:to]] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        pair = np.repeat(np.arange(at, to), size)
+        key = of[pair] * width + what[entry]
+        p = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[p] == key
+        pair, entry, p = pair[hit], entry[hit], p[hit]
+        order = np.lexsort((what[entry], -w[p], pair))
+        pair, entry, p = pair[order], entry[order], p[order]
+        each = np.bincount(pair - at, reviews[entry], to - at).astype(np.int64)
+        upto = np.cumsum(reviews[entry]) - reviews[entry]
+        begins = np.searchsorted(pair, pair)
+        keep = upto - upto[begins] < n
+        pair, entry, p = pair[keep], entry[keep], p[keep]
+        found = [user.take(pa.array(pair)), wanted.take(pa.array(pair)), times[pair], others.take(pa.array(what[entry])), w[p], reviews[entry], r[entry], each[pair - at]]
+        yield pa.record_batch([pa.array(x) for x in found], names=["user", "item", "times", "other", "w", "reviews", "r", "known"])
+        at = to
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks)
+
+
+def _places_in(values: pa.Array, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries of a column are among the distinct `values`, and the places of these."""
+    found = pc.index_in(column, values)
+    there = found.is_valid().to_numpy(zero_copy_only=False)
+    return there, found.drop_null().to_numpy().astype(np.int64)
+
+
 def predict_user_average(ratings: DataFrame, averages: DataFrame, test: DataFrame) -> DataFrame:
     """(user, item, stars): the user's average; null if the item is unseen or the user has no average.
 

@@ -97,3 +97,24 @@ def test_empty_tables(spark):
     assert rows(ratings.item_weights(df)) == rows(ratings.user_weights(df)) == []
     assert rows(predict.predict_item_based(df, ratings.item_weights(df), test)) == []
     assert rows(predict.predict_user_based(df, ratings.user_weights(df), table(spark, [], A), test)) == []
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_item_based_takes_the_first_places_of_many_neighbours(spark, both):
+    rng = random.Random(7)
+    items = [f"i{k}" for k in range(30)]
+    stars = [(u, i, float(rng.randrange(1, 6))) for u in ("hot", "u1", "u2", "u3") for i in items if u == "hot" or rng.random() < 0.2 for _ in range(rng.randrange(1, 3))]
+    weight = {(a, b): rng.choice([-0.5, 0.25, 0.5, 0.75]) for a in items for b in items if a < b and rng.random() < 0.5}
+    stored = [(a, b, s) for (a, b), s in weight.items()] + [(b, a, s) for (a, b), s in weight.items() if both]
+    test = [(u, i, 1) for u in ("hot", "u1", "u2", "u3", "unseen") for i in items]
+    want = []
+    for u, t, _ in test:
+        ranked = sorted((-weight.get((min(t, i), max(t, i)), 0.0), i) for v, i, _ in stars if v == u)[:2]
+        under = sum(abs(w) for w, _ in ranked)
+        mean = lambda i: sum(s for v, j, s in stars if (v, j) == (u, i)) / sum((v, j) == (u, i) for v, j, _ in stars)
+        if under:
+            want.append((u, t, pytest.approx(sum(mean(i) * -w for w, i in ranked) / under, abs=2e-6)))
+    got = predict.predict_item_based(table(spark, stars, R), table(spark, stored, "b1 string, b2 string, sim double"), table(spark, test, T), both=both)
+    assert rows(got) == sorted(want, key=lambda r: r[:2]) and len(want) > 30
+    # The reviews of a hot user meet neither its pairs nor the weights in a join.
+    assert sum("w#" in x.split("[")[-1] for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x) == 0

@@ -3,6 +3,7 @@ from pathlib import Path
 
 import pytest
 
+from rillstone.plans import workflows
 from rillstone.plans.cut import cut, scratch, shared_dir
 from rillstone.sources import reviews as src
 from rillstone.sources import sinks
@@ -128,3 +129,17 @@ def test_scratch_removes_its_tables(spark):
         path = Path(kept.inputFiles()[0].removeprefix("file://")).parent
         assert path.exists()
     assert not path.exists()
+
+
+def test_workflows_write_compressed_files_that_read_back(spark, tmp_path):
+    lines = [{"review_id": f"{u}{i}", "user_id": u, "business_id": i, "stars": float(1 + (ord(u) + ord(i)) % 5)} for u in "uvwxyz" for i in "abc"]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    (tmp_path / "t.json").write_text("".join(json.dumps({"user_id": "u", "business_id": i}) + "\n" for i in "abc"))
+    at = {k: str(tmp_path / k) for k in ("r.json", "t.json", "pairs", "weights", "stars")}
+    workflows.similar_items(spark, at["r.json"], at["pairs"])
+    workflows.train_weights(spark, at["r.json"], at["weights"])
+    workflows.predict_ratings(spark, at["r.json"], at["t.json"], at["weights"], at["stars"])
+    for name, columns, count in (("pairs", sinks.ITEM_PAIRS, 3), ("weights", sinks.ITEM_PAIRS, 2), ("stars", sinks.PREDICTIONS, 2)):
+        parts = [p for p in (tmp_path / name).iterdir() if p.name.startswith("part-")]
+        assert parts and all(p.name.endswith(".json.gz") for p in parts)
+        assert workflows.read_result(spark, at[name], columns).count() == count

@@ -143,3 +143,10 @@ def test_workflows_write_compressed_files_that_read_back(spark, tmp_path):
         parts = [p for p in (tmp_path / name).iterdir() if p.name.startswith("part-")]
         assert parts and all(p.name.endswith(".json.gz") for p in parts)
         assert workflows.read_result(spark, at[name], columns).count() == count
+
+
+def test_a_line_of_a_model_has_bounded_characters(spark, tmp_path):
+    found = table(spark, [("uprofile", f"u{i}", ["word" * 10] * 5) for i in range(60)], "kind string, id string, words array<string>")
+    sinks.write_model_lines(found, str(tmp_path / "m"), chars=2_000)
+    assert rows(sinks.read_model_lines(spark, str(tmp_path / "m"))) == rows(found)
+    assert max(len(r.value) for r in spark.read.text(str(tmp_path / "m")).collect()) < 6_000

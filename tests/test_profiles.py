@@ -1,4 +1,5 @@
 import math
+import random
 
 import duckdb
 import pytest
@@ -116,6 +117,49 @@ def test_merged_pairs_of_whole_profiles_equal_brute_force(spark, monkeypatch):
     assert all(sim == pytest.approx(want[k], abs=1e-6) for k, sim in got.items())
 
 
+def test_profiles_are_not_sent_to_every_block_of_the_other_side(spark):
+    users = table(spark, [(f"u{i}", ["a", f"w{i}"]) for i in range(9)], "id string, words array<string>")
+    items = table(spark, [(f"i{i}", ["a", f"w{i}"]) for i in range(9)], "id string, words array<string>")
+    found = profiles.merged_pairs(users, items, block=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "words" not in plan and "FlatMapCoGroups" not in plan
+    assert {(u, i): s for u, i, s in rows(found)} == {(f"u{i}", f"i{j}"): 1.0 if i == j else 0.5 for i in range(9) for j in range(9)}
+
+
+def test_words_of_reviews_do_not_move(spark):
+    prof = table(spark, [("i", "great", 0.1)], "item string, word string, score double")
+    plan = profiles.user_words(table(spark, [("u", "i")], "user string, item string"), prof)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize(("entries", "dense"), [(5_000_000, 4_096), (7, 4_096), (7, 0)])
+@pytest.mark.parametrize("mode", ["intended", "compat"])
+def test_profiles_in_parts_equal_brute_force(spark, monkeypatch, entries, dense, mode):
+    for name, value in (("MOST_ENTRIES", entries), ("DENSE_WORDS", dense), ("ITEMS_PER_PART", 3), ("REVIEWS_PER_TASK", 20), ("USERS_AT_ONCE", 2), ("ROWS_AT_ONCE", 3)):
+        monkeypatch.setattr(profiles, name, value)
+    rng = random.Random(3)
+    prof = {f"i{i}": {f"w{rng.randrange(30)}x": rng.randrange(10**6) / 1e9 for _ in range(6)} for i in range(12)}
+    reviews = [(f"u{rng.randrange(9)}", f"i{rng.randrange(14)}") for _ in range(60)]
+    want = set()
+    for u in {u for u, _ in reviews}:
+        total = {}
+        for _, i in [r for r in reviews if r[0] == u and r[1] in prof]:
+            for w, s in prof[i].items():
+                total.setdefault(w, []).append(round(s * 1e9))
+        if mode == "intended":
+            want |= {(u, w) for w in sorted(total, key=lambda w: (-((sum(total[w]) + 500) // 1000), w))[:5]}
+        else:
+            again = [w for w in sorted(total, key=lambda w: (-ord(w[1]), w)) for _ in total[w]]
+            want |= {(u, w) for w in again[:5]}
+    scores = table(spark, [(i, w, s) for i, ws in prof.items() for w, s in ws.items()], "item string, word string, score double")
+    found = profiles.user_words(table(spark, reviews, "user string, item string"), scores, mode, 5)
+    assert len(want) > 25 and rows(found) == sorted(want)
+    users, items = (d.groupBy(F.col(k).alias("id")).agg(F.collect_set("word").alias("words")) for d, k in ((found, "user"), (scores, "item")))
+    words = {u: {w for v, w in want if v == u} for u, _ in want}
+    cosine = {(u, i): round(len(words[u] & ws.keys()) / math.sqrt(len(words[u]) * len(ws)), 6) for u in words for i, ws in prof.items()}
+    assert {(u, i): s for u, i, s in rows(profiles.merged_pairs(users, items, block=4))} == {k: pytest.approx(s, abs=1e-6) for k, s in cosine.items() if s}
+
+
 def test_map_argmax(spark):
     df = table(spark, [({"a": {"x": 1, "y": 5}, "b": {"x": 5}, "c": {}},)], "m map<string,map<string,int>>")
     assert rows(profiles.map_argmax(df, "m")) == [("a", "y", 5)]

@@ -135,7 +135,7 @@ def test_words_of_reviews_do_not_move(spark):
 @pytest.mark.parametrize(("entries", "dense"), [(5_000_000, 4_096), (7, 4_096), (7, 0)])
 @pytest.mark.parametrize("mode", ["intended", "compat"])
 def test_profiles_in_parts_equal_brute_force(spark, monkeypatch, entries, dense, mode):
-    for name, value in (("MOST_ENTRIES", entries), ("DENSE_WORDS", dense), ("ITEMS_PER_PART", 3), ("REVIEWS_PER_TASK", 20), ("USERS_AT_ONCE", 2), ("ROWS_AT_ONCE", 3)):
+    for name, value in (("MOST_ENTRIES", entries), ("REVIEW_WORDS", entries), ("DENSE_WORDS", dense), ("ITEMS_PER_PART", 3), ("REVIEWS_PER_TASK", 20), ("USERS_AT_ONCE", 2), ("ROWS_AT_ONCE", 3)):
         monkeypatch.setattr(profiles, name, value)
     rng = random.Random(3)
     prof = {f"i{i}": {f"w{rng.randrange(30)}x": rng.randrange(10**6) / 1e9 for _ in range(6)} for i in range(12)}

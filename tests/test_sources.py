@@ -150,3 +150,31 @@ def test_a_line_of_a_model_has_bounded_characters(spark, tmp_path):
     sinks.write_model_lines(found, str(tmp_path / "m"), chars=2_000)
     assert rows(sinks.read_model_lines(spark, str(tmp_path / "m"))) == rows(found)
     assert max(len(r.value) for r in spark.read.text(str(tmp_path / "m")).collect()) < 6_000
+
+
+def test_entries_of_a_model_become_lines_where_they_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "LINES_PER_TASK", 2)
+    found = cut(table(spark, [(k, f"{k}{i}", ["word"] * 5) for k in ("uprofile", "bprofile") for i in range(60)], "kind string, id string, words array<string>"), "found")
+    sc = spark.sparkContext
+    sc.setJobGroup("lines", "")
+    sinks.write_model_lines(found, str(tmp_path / "m"), per_line=7)
+    jobs = sc.statusTracker().getJobIdsForGroup("lines")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) and len(sc.statusTracker().getJobInfo(max(jobs)).stageIds) == 1
+    assert rows(sinks.read_model_lines(spark, str(tmp_path / "m"))) == rows(found)
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "m")).collect()]
+    assert max(len(x) for line in lines for x in line.values()) == 7
+
+
+def test_profile_workflow_gives_back_its_tables(spark, tmp_path):
+    lines = [{"review_id": f"{u}{i}", "user_id": u, "business_id": i, "stars": 3.0, "text": f"{w} food place"} for u in "uv" for i, w in (("a", "great"), ("b", "awful"))]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    (tmp_path / "t.json").write_text(json.dumps({"user_id": "u", "business_id": "a"}) + "\n" + json.dumps({"user_id": "x", "business_id": "a"}) + "\n")
+    (tmp_path / "stop").write_text("the\n")
+    at = {k: str(tmp_path / k) for k in ("r.json", "t.json", "stop", "model", "out")}
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    workflows.train_profiles(spark, at["r.json"], at["stop"], at["model"])
+    workflows.score_profiles(spark, at["t.json"], at["model"], at["out"])
+    assert set(folder.iterdir()) == before
+    assert rows(workflows.read_result(spark, at["out"], sinks.SCORES)) == [("u", "a", round(3 / 12**0.5, 6))]

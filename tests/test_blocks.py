@@ -61,3 +61,12 @@ def test_a_pair_at_the_threshold_needs_a_common_bucket(spark, hashes, bands):
     near = {r[:2] for r in rows(setsim.candidates(keys))}
     want = [r for r in rows(setsim.exact_pairs(df, 0.1)) if r[:2] in near]
     assert 0 < len(want) and rows(setsim.lsh_pairs(df, 0.1, hashes=hashes, bands=bands)) == want
+
+
+def test_blocks_are_not_sent_to_every_other(spark):
+    sets = some(6)
+    packed, _ = blocks.packed(table(spark, [(k, m) for k, s in sets.items() for m in s], SCHEMA))
+    found = blocks.counted(packed, 9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "codes" not in plan and "Generate" not in plan
+    assert len(rows(found)) == sum(bool(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2))
